@@ -14,6 +14,7 @@ tables give an empty result; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,7 @@ _NONE = np.int64(2**62)
 
 def keyed(rows: DataFrame, field: str, key: Column, secondary: list[Column], version: Column) -> DataFrame:
     """Rows of one table as (f, has_key, key, has_o, o, at): ``field`` names them, a null secondary part voids the secondary."""
-    whole = key.isNotNull()
-    for c in secondary:
-        whole = whole & c.isNotNull()
+    whole = reduce(lambda x, y: x & y, [c.isNotNull() for c in secondary])
     return rows.select(
         F.lit(field).alias("f"), key.isNotNull().alias("has_key"), F.coalesce(key.cast("string"), F.lit("")).alias("key"),
         whole.alias("has_o"), F.when(whole, F.concat_ws("\u0000", *secondary)).otherwise("").alias("o"), version.cast("bigint").alias("at"),
