@@ -6,7 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import encode, packing, reading_level
+from . import encode, handwritten, packing, reading_level
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    code = load(spark, d, "source_files").where("file_type = 'code'")
+    return handwritten.file_kinds(code, load(spark, d, "library_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Code files that nobody wrote by hand."""
+    return _kinds(spark, d).where("kind <> 'handwritten'").select("repo", "source_file")
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Number of code files and of graph nodes from them, per repo and kind."""
+    kinds = _kinds(spark, d).select("repo", "source_file", "kind")
+    nodes = load(spark, d, "graph_nodes").where("file_type = 'code' and source_file <> ''").groupBy("repo", "source_file").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(nodes, ["repo", "source_file"], "left").groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -44,5 +61,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _bands(spark, d).select("doc_id", "reading_band")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found}
 SQL: dict[str, str] = {}
