@@ -12,16 +12,12 @@ left out; repeated ids within a repo count as one record; empty tables give an e
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import unformatted, unformatted_json
 from ..plans.scratch import materialize
-
-#: A group with more than one HOT-th of all rows counts as hot; fewer than HOT groups can be.
-HOT = 200
+from ..plans.skew import join_groups
 
 
 def raw_groups(records: DataFrame, fields: list[str], repo: str = "repo") -> DataFrame:
@@ -49,30 +45,11 @@ def collapsed(records: DataFrame, fields: list[str], json_fields: tuple[str, ...
 def copies(records: DataFrame, fields: list[str], json_fields: tuple[str, ...] = (), repo: str = "repo") -> DataFrame:
     """One row for every record but the first of its group: (repo, first_id, copy_id).
 
-    A raw group finds its canonical group, and a record its raw group, by :func:`members`.
+    A raw group finds its canonical group, and a record its raw group, by :func:`join_groups`.
     """
     own = materialize(records.where(F.col("id").isNotNull()).select(repo, "id", *fields), "records")
     canonical = [f"c_{c}" for c in fields]
     raw = materialize(raw_groups(own, fields, repo).withColumns(canonical_fields(fields, json_fields)), "raw_groups")
     groups = materialize(canonical_groups(raw, fields, repo).where("n_copies > 1"), "canonical_groups")
-    named = materialize(members(raw, groups.select(repo, *canonical, "group_id", F.col("n_rows").alias("size")), [repo, *canonical]).select(repo, *fields, F.col("n_rows").alias("size"), "group_id"), "named_groups")
-    return members(own, named, [repo, *fields]).where(F.col("id") != F.col("group_id")).select(repo, F.col("group_id").alias("first_id"), F.col("id").alias("copy_id"))
-
-
-def members(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` of the groups, with their ``group_id`` (null keys equal null); ``size`` is a group's number of rows.
-
-    A group with more than 1/HOT of all rows is joined by broadcast: there are fewer than HOT such
-    groups, whatever the data. Every other group is too small to unbalance the shuffle join.
-    """
-    total = rows.count()
-    hot = F.col("size") * HOT > total
-    few, many = groups.where(hot).drop("size"), groups.where(~hot).drop("size")
-
-    def on(other: str) -> F.Column:
-        return reduce(lambda x, y: x & y, [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys])
-
-    by_broadcast = rows.alias("r").join(F.broadcast(few.alias("g")), on("g")).select("r.*", "g.group_id")
-    cold = rows.alias("r").join(F.broadcast(few.alias("h")), on("h"), "left_anti")
-    by_shuffle = cold.alias("r").join(many.alias("g"), on("g")).select("r.*", "g.group_id")
-    return by_broadcast.unionByName(by_shuffle)
+    named = materialize(join_groups(raw, groups.select(repo, *canonical, "group_id", F.col("n_rows").alias("size")), [repo, *canonical]).select(repo, *fields, F.col("n_rows").alias("size"), "group_id"), "named_groups")
+    return join_groups(own, named, [repo, *fields]).where(F.col("id") != F.col("group_id")).select(repo, F.col("group_id").alias("first_id"), F.col("id").alias("copy_id"))
