@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 _STATE = "part int, f string, has_key boolean, key string, n_rows bigint, n_distinct bigint, first_o string, first_has boolean, last_o string, last_has boolean, low bigint, high bigint"
 _NONE = np.int64(2**62)
 
@@ -100,6 +102,10 @@ def key_profile(rows: DataFrame) -> DataFrame:
 
 
 def heavy_keys(profile: DataFrame, share: int = 50) -> DataFrame:
-    """Non-null keys with at least one ``share``-th of the rows of their ``f``; totals are one row per ``f``."""
+    """Non-null keys with at least one ``share``-th of the rows of their ``f``; totals are one row per ``f``.
+
+    The profile, one row per key, is written once and read for both the totals and the keys.
+    """
+    profile = materialize(profile, "profile")
     totals = profile.groupBy("f").agg(F.sum("n_rows").alias("total"))
     return profile.where(F.col("key_text").isNotNull()).join(F.broadcast(totals), "f").where(F.col("n_rows") * share >= F.col("total")).drop("total")
