@@ -162,7 +162,9 @@ def _log_evidence() -> list[Column]:
     n = F.greatest(F.length("file_text"), F.lit(1))
     line = n / F.greatest(F.regexp_count("file_text", F.lit(r"(?m)^[^\n]*\S")), F.lit(1))
     blank = (n - F.length(F.regexp_replace("file_text", r"\s+", ""))) / n
-    literals = F.regexp_replace("file_text", r"(?s)\"\"\".*?\"\"\"|`[^`]*`|r#\".*?\"#|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b0x[0-9A-Fa-f]+", "")
+    # escapes go first, so that no pattern needs a repeated group (the JVM matches those by recursion)
+    unescaped = F.regexp_replace("file_text", r"(?s)\\.", "")
+    literals = F.regexp_replace(unescaped, r"(?s)\"\"\".*?\"\"\"|`[^`]*`|r#\".*?\"#|\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9A-Fa-f]+", "")
     bare = F.length(F.regexp_replace(literals, r"[\d\s,;:.\[\](){}=+-]+", "")) / n
     name = F.element_at(F.split("source_file", "/"), -1)
     marked = F.col("file_text").rlike(GENERATED)
