@@ -170,7 +170,7 @@ def _log_evidence() -> list[Column]:
     marked = F.col("file_text").rlike(GENERATED)
     own = F.col("file_text").rlike(OWN) & ~F.col("file_text").rlike(_OWN_NOT)
     dense = (line > 80) & (blank < 0.1) & (bare > 0.3)
-    data = bare < 0.08
+    data = (bare < 0.08) & (n * (1 - blank) > 20)
     regular = F.col("regular")
     at = lambda c, yes, no=0.0: F.when(c, F.lit(float(yes))).otherwise(F.lit(float(no)))
     taken = F.col("file_text").rlike(VENDORED)

@@ -169,14 +169,11 @@ def _example_scores(table):
 
 
 def thresholds(table: DataFrame, shared) -> np.ndarray:
-    """Midpoints between the mean scores of the examples' sentences, by band; bands without examples repeat the one below."""
+    """Midpoints between the mean scores of the examples' sentences, by band; bands without examples lie between their neighbours."""
     rows = table.where("band is not null").mapInArrow(_example_scores(shared), "band int, y double").where("not isnan(y)").groupBy("band").agg(F.avg("y")).collect()
-    means = dict(rows)
-    line, last = [], means.get(1, 1.0)
-    for band in BANDS:
-        last = max(last, means.get(int(band), last))
-        line.append(last)
-    return (np.array(line[1:]) + np.array(line[:-1])) / 2
+    means = dict(rows) or {int(b): float(b) for b in BANDS}
+    line = np.maximum.accumulate(np.interp(BANDS, sorted(means), [means[b] for b in sorted(means)]))
+    return (line[1:] + line[:-1]) / 2
 
 
 def _assign(table, limits: np.ndarray):
