@@ -109,7 +109,7 @@ def test_file_kinds(spark):
     got = {(r.repo, r.source_file): r.kind for r in handwritten.file_kinds(files, libraries).collect()}
     other = {k: v for k, v in got.items() if v != "handwritten"}
     assert other == {("r", "src/gen/a.py"): "generated", ("r", "web/x.min.js"): "minified", ("r", "assets/t.py"): "blob", ("r", "lib/p.py"): "vendored", ("s", "lib/q.py"): "vendored"}
-    assert len(got) == 20 and ("r", "src/none.py") not in got
+    assert len(got) == 21 and ("r", "src/none.py") not in got
     assert handwritten.file_kinds(files.limit(0), libraries.limit(0)).count() == 0
 
 

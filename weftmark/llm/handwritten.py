@@ -157,27 +157,34 @@ def copied_texts(table: DataFrame, least_words: int = 20) -> DataFrame:
     return everyone.select("text_key", "centre").join(groups, "centre", "left_semi").select("text_key").unionByName(alone).distinct()
 
 
-def _log_evidence() -> list[Column]:
-    """Log likelihood of a file's evidence under each kind."""
+def _findings() -> dict[str, Column]:
+    """What a file's own text and name show; each pattern is matched once."""
     n = F.greatest(F.length("file_text"), F.lit(1))
     line = n / F.greatest(F.regexp_count("file_text", F.lit(r"(?m)^[^\n]*\S")), F.lit(1))
-    blank = (n - F.length(F.regexp_replace("file_text", r"\s+", ""))) / n
+    solid = F.length(F.regexp_replace("file_text", r"\s+", ""))
     # escapes go first, so that no pattern needs a repeated group (the JVM matches those by recursion)
     unescaped = F.regexp_replace("file_text", r"(?s)\\.", "")
     literals = F.regexp_replace(unescaped, r"(?s)\"\"\".*?\"\"\"|`[^`]*`|r#\".*?\"#|\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9A-Fa-f]+", "")
     bare = F.length(F.regexp_replace(literals, r"[\d\s,;:.\[\](){}=+-]+", "")) / n
     name = F.element_at(F.split("source_file", "/"), -1)
-    marked = F.col("file_text").rlike(GENERATED)
-    own = F.col("file_text").rlike(OWN) & ~F.col("file_text").rlike(_OWN_NOT)
-    dense = (line > 80) & (blank < 0.1) & (bare > 0.3)
-    data = (bare < 0.08) & (n * (1 - blank) > 20)
-    regular = F.col("regular")
+    return {
+        "marked": F.col("file_text").rlike(GENERATED), "own": F.col("file_text").rlike(OWN) & ~F.col("file_text").rlike(_OWN_NOT), "taken": F.col("file_text").rlike(VENDORED),
+        "line": line, "solid": solid, "bare": bare, "n": n,
+        "tool_name": F.coalesce(name.rlike(_GENERATED_NAME), F.lit(False)), "short_name": F.coalesce(name.rlike(_MINIFIED_NAME), F.lit(False)),
+    }
+
+
+def _log_evidence() -> list[Column]:
+    """Log likelihood of a file's findings under each kind."""
+    col = F.col
+    dense = (col("line") > 80) & (col("solid") > 0.9 * col("n")) & (col("bare") > 0.3)
+    data = (col("bare") < 0.08) & (col("solid") > 20)
+    regular = col("regular") > 0.6
     at = lambda c, yes, no=0.0: F.when(c, F.lit(float(yes))).otherwise(F.lit(float(no)))
-    taken = F.col("file_text").rlike(VENDORED)
-    hand = at(own, 3) + at(marked, -5) + at(taken, -4) + at(dense, -5) + at(data, -5) + at(regular > 0.6, -5) + at(F.col("copied"), -5)
-    generated = at(marked | (regular > 0.6), 5, -2) + at(marked & (regular > 0.6), 1) + at(name.rlike(_GENERATED_NAME), 1.5) + at(own, -2)
-    minified = at(dense, 6, -5) + at(name.rlike(_MINIFIED_NAME), 1.5)
-    vendored = at(F.col("copied"), 5, -1.5) + at(taken, 4, -1) + at(own, -2)
+    hand = at(col("own"), 3) + at(col("marked"), -5) + at(col("taken"), -4) + at(dense, -5) + at(data, -5) + at(regular, -5) + at(col("copied"), -5)
+    generated = at(col("marked") | regular, 5, -2) + at(col("marked") & regular, 1) + at(col("tool_name"), 1.5) + at(col("own"), -2)
+    minified = at(dense, 6, -5) + at(col("short_name"), 1.5)
+    vendored = at(col("copied"), 5, -1.5) + at(col("taken"), 4, -1) + at(col("own"), -2)
     blob = at(data, 6, -3)
     return [x.alias(k) for x, k in zip([hand, generated, minified, vendored, blob], KINDS, strict=True)]
 
@@ -247,7 +254,8 @@ def file_evidence(files: DataFrame, libraries: DataFrame) -> DataFrame:
     looked = looked.select(F.col("repo").alias("key_repo"), F.col("source_file").alias("key_file"), "copied", "regular")
     joined = own.join(looked, (F.coalesce("repo", F.lit("")) == F.col("key_repo")) & F.col("source_file").eqNullSafe(F.col("key_file")))
     folder = F.when(F.col("source_file").contains("/"), F.regexp_replace("source_file", "/[^/]*$", "")).otherwise("")
-    return materialize(joined.select("repo", "source_file", folder.alias("folder"), "copied", "regular", *_log_evidence()), "evidence")
+    found = joined.select("repo", "source_file", folder.alias("folder"), "copied", "regular", *[x.alias(k) for k, x in _findings().items()])
+    return materialize(found.select("repo", "source_file", "folder", "copied", "regular", *_log_evidence()), "evidence")
 
 
 def file_kinds(files: DataFrame, libraries: DataFrame) -> DataFrame:
