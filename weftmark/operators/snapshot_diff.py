@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import BucketedTable, broadcast_if_small, delete_path, materialize, new_path
+from ..plans.scratch import BucketedTable, fits_broadcast, materialize, new_path
 
 KEYS = ["in_table", "repo", "key_one", "key_two"]
 CHANGES = "in_table string, repo string, snapshot_no int, key_one string, key_two string, change_kind string"
@@ -86,11 +86,11 @@ def snapshot_changes(tables: list[Snapshotted], log: DataFrame, buckets: int | N
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     history = materialize(delivered(log), "deliveries")
     numbers = [r[0] for r in history.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]
-    found, index = new_path(spark, "changes"), None
+    small, found, index = fits_broadcast(history), new_path(spark, "changes"), None
     for no in numbers:
         rows = reduce(DataFrame.unionByName, [record_rows(t).where(F.col("snapshot_no") == no) for t in tables])
-        links = broadcast_if_small(history.where(F.col("snapshot_no") == no).select("repo", "prev_no", "next_no"))
-        new = standing(rows).join(links, "repo").select(*KEYS, F.col("fp").alias("new_fp"), "prev_no", F.col("next_no").alias("new_next"))
+        links = history.where(F.col("snapshot_no") == no).select("repo", "prev_no", "next_no")
+        new = standing(rows).join(F.broadcast(links) if small else links, "repo").select(*KEYS, F.col("fp").alias("new_fp"), "prev_no", F.col("next_no").alias("new_next"))
         if index is None:
             step = new.select(*KEYS, F.col("new_fp").alias("fp"), F.col("new_next").alias("next_no"), F.lit(None).cast("string").alias("change_kind"))
         else:

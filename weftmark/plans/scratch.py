@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -69,11 +70,16 @@ class BucketedTable:
         delete_path(self.spark, self.path)
 
 
+def fits_broadcast(df: DataFrame, most_rows: int = 200_000) -> bool:
+    """Whether a side has at most ``most_rows`` rows; the count stops there, so a large side is refused cheaply."""
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``most_rows`` the side is left to a shuffle join.
+    """Hint a broadcast only after counting: beyond ``most_rows`` the side is left to a shuffle join."""
+    return F.broadcast(df) if fits_broadcast(df, most_rows) else df
 
-    The count stops at the limit, so it never scans more of a large side than needed to refuse it.
-    """
-    from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that were not written are lost with them."""
+    delete_path(spark, scratch_dir(spark))
