@@ -12,9 +12,10 @@ FORMATTING = r"[\p{P}\p{Z}\s\u0085\u001c-\u001f]+"
 def unformatted(text: Column) -> Column:
     """``text`` without letter case, white space and punctuation; null becomes ''.
 
-    Upper case first makes the one-to-many folds (sharp s) equal to their written-out form.
+    Upper case first makes the one-to-many folds (sharp s) equal to their written-out form; the
+    pattern stands between the two, since Catalyst would drop the inner of two adjacent conversions.
     """
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(text, F.lit("")))), FORMATTING, "")
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), FORMATTING, ""))
 
 
 def unformatted_json(text: Column) -> Column:
