@@ -38,6 +38,12 @@ def whole_links(links: DataFrame) -> DataFrame:
     return links.where("source is not null and target is not null")
 
 
+def kept_links(graph: Graph) -> DataFrame:
+    """Links whose two ends are nodes of the graph."""
+    ids = graph.nodes.select("repo", "id")
+    return whole_links(graph.links).join(ids.withColumnRenamed("id", "source"), ["repo", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi")
+
+
 def pairs(links: DataFrame) -> DataFrame:
     """Distinct unordered pairs (repo, lo, hi)."""
     return whole_links(links).select("repo", F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).distinct()

@@ -9,18 +9,20 @@ from ..plans.scratch import materialize
 from .graph import Graph, incident, pairs, whole_links
 
 
-def levels(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def levels(steps: DataFrame, seeds: DataFrame, depth: int, within: list[str] | None = None) -> DataFrame:
     """Breadth-first levels: (repo, id, depth) of all nodes within ``depth`` steps of the seeds (repo, id).
 
-    ``steps`` are (repo, id, other). A level is distinct by node before it is joined again, so a hub
-    is expanded once; nodes seen before are dropped by an anti-join.
+    ``steps`` are (repo, id, other). Columns of the seeds named in ``within`` keep several walks of a
+    repo apart. A level is distinct by node before it is joined again, so a hub is expanded once;
+    nodes seen before are dropped by an anti-join.
     """
+    apart = ["repo", *(within or [])]
     steps = materialize(steps.select("repo", "id", "other"), "steps")
-    seen = materialize(seeds.select("repo", "id").distinct().withColumn("depth", F.lit(0)), "level")
+    seen = materialize(seeds.select(*apart, "id").distinct().withColumn("depth", F.lit(0)), "level")
     frontier = seen
     for at in range(1, depth + 1):
-        reached = frontier.join(steps, ["repo", "id"]).select("repo", F.col("other").alias("id")).distinct()
-        frontier = materialize(reached.join(seen.select("repo", "id"), ["repo", "id"], "left_anti").withColumn("depth", F.lit(at)), "level")
+        reached = frontier.join(steps, ["repo", "id"]).select(*apart, F.col("other").alias("id")).distinct()
+        frontier = materialize(reached.join(seen.select(*apart, "id"), [*apart, "id"], "left_anti").withColumn("depth", F.lit(at)), "level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -62,3 +64,23 @@ def components(graph: Graph) -> DataFrame:
         labels = moved.select("repo", "id", "label")
         if moved.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
+
+
+def layers(links: DataFrame, relations: list[str]) -> DataFrame:
+    """(repo, id, layer) of the nodes at ``relations``: 0 where nothing points to, else one more than the highest layer that points to it.
+
+    Layers are peeled off round by round; nodes on a cycle or behind one have no layer (null).
+    """
+    steps = materialize(whole_links(links).where(F.col("relation").isin(relations)).select("repo", F.col("source").alias("id"), F.col("target").alias("other")).distinct(), "steps")
+    left = materialize(steps.select("repo", F.explode(F.array("id", "other")).alias("id")).distinct(), "left")
+    done, at = None, 0
+    while True:
+        held = steps.select("repo", F.col("other").alias("id"))
+        layer = materialize(left.join(held, ["repo", "id"], "left_anti"), "layer")
+        found = layer.withColumn("layer", F.lit(at))
+        done = found if done is None else done.unionByName(found)
+        if layer.isEmpty():
+            return done.unionByName(left.withColumn("layer", F.lit(None).cast("int")))
+        left = materialize(left.join(layer, ["repo", "id"], "left_anti"), "left")
+        steps = materialize(steps.join(layer, ["repo", "id"], "left_anti"), "steps")
+        at += 1
