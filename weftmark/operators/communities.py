@@ -19,14 +19,12 @@ def _moved(edges: DataFrame, state: DataFrame, most_rounds: int) -> DataFrame:
     may move at a time: neighbours that move at once would chase each other.
     """
     for at in range(most_rounds):
-        near = edges.join(state.select("scope", F.col("id").alias("other"), "label"), ["scope", "other"]).select("scope", "id", "label", "w")
-        stay = state.select("scope", "id", "label", F.lit(0).cast("bigint").alias("w"))
-        near = near.unionByName(stay).groupBy("scope", "id", "label").agg(F.sum("w").alias("w"))
+        near = edges.join(state.select("scope", F.col("id").alias("other"), "label"), ["scope", "other"]).select("scope", "id", "label", "k", "two_m", "w", F.lit(False).alias("home"))
+        stay = state.select("scope", "id", "label", "k", "two_m", F.lit(0).cast("bigint").alias("w"), F.lit(True).alias("home"))
+        near = near.unionByName(stay).groupBy("scope", "id", "label", "k", "two_m").agg(F.sum("w").alias("w"), F.max("home").alias("home"))
         total = state.groupBy("scope", "label").agg(F.sum("k").alias("total"))
-        choice = near.join(state.select("scope", "id", F.col("label").alias("own"), "k", "two_m"), ["scope", "id"]).join(total, ["scope", "label"])
-        at_home = F.col("label") == F.col("own")
-        loss = F.col("k") * (F.col("total") - F.when(at_home, F.col("k")).otherwise(0)) - F.col("two_m") * F.col("w")
-        best = choice.groupBy("scope", "id", "own", "k", "two_m").agg(F.min(F.struct(loss.alias("loss"), (~at_home).alias("away"), "label"))["label"].alias("best"))
+        loss = F.col("k") * (F.col("total") - F.when(F.col("home"), F.col("k")).otherwise(0)) - F.col("two_m") * F.col("w")
+        best = near.join(total, ["scope", "label"]).groupBy("scope", "id", "k", "two_m").agg(F.min(F.struct(loss.alias("loss"), (~F.col("home")).alias("away"), "label"))["label"].alias("best"), F.max(F.when(F.col("home"), F.col("label"))).alias("own"))
         turn = F.pmod(F.xxhash64("id", F.lit(at)), F.lit(2)) == 0
         moved = best.select("scope", "id", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("label"), "k", "two_m", (F.col("best") != F.col("own")).alias("restless"))
         moved = materialize(moved, "labels")
@@ -42,11 +40,15 @@ def partition(edges: DataFrame, most_rounds: int = 6, most_levels: int = 3) -> D
     After each level of moves the communities become the nodes of a smaller graph and move in turn.
     All scopes run in the same rounds; each round and each smaller graph is written to the shared folder.
     """
-    edges = materialize(edges, "weighed")
-    degree = edges.groupBy("scope", "id").agg(F.sum("w").alias("k"))
+    plain = materialize(edges, "weighed")
+    if plain.isEmpty():
+        return plain.select("scope", "id", F.col("id").alias("label"))
+    degree = plain.groupBy("scope", "id").agg(F.sum("w").alias("k"))
     mass = materialize(degree.groupBy("scope").agg(F.sum("k").alias("two_m")), "mass")
     state = materialize(degree.join(broadcast_if_small(mass), "scope").select("scope", "id", F.col("id").alias("label"), "k", "two_m"), "labels")
     member = state.select("scope", "id", "label")
+    weighed = lambda df, s: materialize(df.join(s.select("scope", "id", "k", "two_m"), ["scope", "id"]), "weighed")
+    edges = weighed(plain, state)
     for _ in range(most_levels):
         state = _moved(edges, state, most_rounds)
         lead = state.select("scope", F.col("id").alias("label"), F.col("label").alias("lead"))
@@ -54,9 +56,9 @@ def partition(edges: DataFrame, most_rounds: int = 6, most_levels: int = 3) -> D
         if state.where("id <> label").isEmpty():
             break
         ends = lead.withColumnRenamed("label", "id")
-        smaller = edges.join(ends, ["scope", "id"]).select("scope", F.col("lead").alias("a"), F.col("other").alias("id"), "w").join(ends, ["scope", "id"])
-        edges = materialize(smaller.where("a <> lead").groupBy("scope", "a", "lead").agg(F.sum("w").alias("w")).select("scope", F.col("a").alias("id"), F.col("lead").alias("other"), "w"), "weighed")
         state = materialize(state.groupBy("scope", "label", "two_m").agg(F.sum("k").alias("k")).select("scope", F.col("label").alias("id"), "label", "k", "two_m"), "labels")
+        smaller = edges.select("scope", "id", "other", "w").join(ends, ["scope", "id"]).select("scope", F.col("lead").alias("a"), F.col("other").alias("id"), "w").join(ends, ["scope", "id"])
+        edges = weighed(smaller.where("a <> lead").groupBy("scope", "a", "lead").agg(F.sum("w").alias("w")).select("scope", F.col("a").alias("id"), F.col("lead").alias("other"), "w"), state)
     return member
 
 

@@ -51,7 +51,7 @@ def link_heat(spark: SparkSession, d: str) -> DataFrame:
     cuts = cuts.select("repo", cut(1, "least").alias("cold"), cut(9, "most").alias("hot"))
     linked = graph.pairs(load(spark, d, "graph_links")).join(walks, ["repo", "lo", "hi"], "left").join(broadcast_if_small(materialize(cuts, "cuts")), "repo", "left")
     heat = F.when(F.col("n_walks").isNull(), "never").when(F.col("n_walks") * 10 >= F.col("hot"), "hot").when(F.col("n_walks") * 10 <= F.col("cold"), "cold").otherwise("warm")
-    weight = F.round(F.least(F.lit(10.0), 1 + F.ln("n_walks")), 6)
+    weight = F.round(F.when(F.col("n_walks").isNotNull(), F.least(F.lit(10.0), 1 + F.ln("n_walks"))), 6)
     return linked.select("repo", "lo", "hi", heat.alias("heat"), weight.alias("weight"), F.floor(F.col("n_walks") * 4 / 5).cast("bigint").alias("decayed"))
 
 
