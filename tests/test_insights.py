@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from weftmark.functions import text as T
 from weftmark.operators import communities, graph, retrieval, traversal
 from weftmark.operators.graph import Graph
 from weftmark.plans import insight_queries
@@ -114,3 +115,19 @@ def test_walk_heat_equals_exclusive_tenths(spark, tmp_path, counts):
 def test_kept_links(cliques):
     kept = graph.kept_links(cliques)
     assert kept.where(F.col("target") == "nowhere").count() == 0 and kept.where("source = 'a1' and target = 'a1'").count() == 1
+
+
+def test_text_forms(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.cypher_text(F.lit("a\\b'c"))) == "a\\\\b\\'c" and one(T.markdown_text(F.lit("`a<b>`"))) == "'a&lt;b&gt;'"
+    assert [one(T.sentence_count(F.lit(t))) for t in ("", " \n", "One", "One. Two!\n\nThree?  ", "v1.2 is out. ")] == [0, 0, 1, 3, 1]
+    assert one(T.tech_tag(F.lit("a/b.PY"))) == "python" and one(T.tech_tag(F.lit("py"))) is None and one(T.tech_tag(F.lit(None).cast("string"))) is None
+    assert len(one(T.element_id(F.lit("")))) == 16 and one(T.element_id(F.lit(None).cast("string"))) is None
+
+
+def test_concept_links(spark):
+    nodes = [("r", "code", None, "code", None, None, None), ("r", "idea", None, "document", None, None, None), ("r", "plain", None, None, None, None, None)]
+    row = lambda a, b, relation, confidence, score: ("r", a, b, relation, confidence, score, "s", 1.0, None, None, None)
+    links = [row("idea", "code", "implemented_by", "INFERRED", 0.4), row("idea", "code", "implements", "EXTRACTED", None), row("idea", "plain", "implements", "INFERRED", 0.2), row("plain", "idea", "implements", "INFERRED", 0.9), row("code", "lost", "implements", "EXTRACTED", 1.0), row("code", "idea", "uses", "EXTRACTED", 1.0)]
+    got = graph.concept_links(Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame(links, LINKS)))
+    assert {tuple(r) for r in got.collect()} == {("r", "code", "idea", 2, 3, 0.4), ("r", "plain", "idea", 2, 2, 0.9)}

@@ -81,3 +81,34 @@ def url_kind(url: Column) -> Column:
 
 def score_band(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.5, "medium").when(score >= 0, "low")
+
+
+#: Tags of file suffixes.
+TECH_TAGS = {"py": "python", "ts": "typescript", "js": "javascript", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "c": "c", "cpp": "cpp", "cs": "csharp", "swift": "swift", "kt": "kotlin", "sql": "sql", "sh": "shell"}
+
+
+def element_id(key: Column) -> Column:
+    """Sixteen digits of the key's digest, for drawings."""
+    return F.substring(F.sha2(key, 256), 1, 16)
+
+
+def cypher_text(text: Column) -> Column:
+    """Backslashes and single quotes escaped."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+
+
+def markdown_text(text: Column) -> Column:
+    """Backticks as apostrophes, angle brackets as entities."""
+    return F.replace(F.replace(F.replace(text, F.lit("`"), F.lit("'")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def sentence_count(text: Column) -> Column:
+    """Sentences by their ends: full stop, exclamation or question mark before white space; blank texts have none."""
+    bare = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[.!?][ \t\r\n]+")) + 1)
+
+
+def tech_tag(path: Column) -> Column:
+    """The technology that a path's suffix shows, null for others."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.coalesce(*[F.when(suffix == s, F.lit(tag)) for s, tag in TECH_TAGS.items()])

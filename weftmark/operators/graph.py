@@ -127,3 +127,22 @@ def link_errors(links: DataFrame) -> DataFrame:
         F.when(F.col("confidence_score").isNull(), F.lit("missing score")),
     ))
     return links.select("repo", "source", "target", F.explode(errors).alias("error"))
+
+
+def concept_links(graph: Graph) -> DataFrame:
+    """What implements what, once per pair of nodes: (repo, source, target, n_rows, tier, confidence_score).
+
+    implemented_by is implements turned round; between a code node and another the code node is the
+    source, whichever way it was written. Links both ways fall together in the direction of the best
+    row (tier, then score, then the smaller source).
+    """
+    known = kept_links(graph).where(F.col("relation").isin("implements", "implemented_by"))
+    back = F.col("relation") == "implemented_by"
+    rows = known.select("repo", F.when(back, F.col("target")).otherwise(F.col("source")).alias("s"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("t"), tier(F.col("confidence")).alias("tier"), "confidence_score")
+    is_code = lambda end: graph.nodes.select("repo", F.col("id").alias(end), F.coalesce(F.col("file_type") == "code", F.lit(False)).alias(f"{end}_code"))
+    typed = rows.join(is_code("s"), ["repo", "s"]).join(is_code("t"), ["repo", "t"])
+    turned = F.col("t_code") & ~F.col("s_code")
+    typed = typed.select("repo", F.when(turned, F.col("t")).otherwise(F.col("s")).alias("source"), F.when(turned, F.col("s")).otherwise(F.col("t")).alias("target"), "tier", "confidence_score")
+    best = F.min(F.struct((-F.col("tier")).alias("t"), (-F.coalesce("confidence_score", F.lit(-1.0))).alias("s"), "source", "target")).alias("best")
+    merged = typed.groupBy("repo", F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("tier").alias("tier"), F.max("confidence_score").alias("confidence_score"), best)
+    return merged.select("repo", "best.source", "best.target", "n_rows", "tier", "confidence_score")

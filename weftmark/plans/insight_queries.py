@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import analysis, communities, graph, retrieval, traversal
 from ..sources.tables import load
 from .graph_queries import _BASE, _LAST, _STANDING, newest_graph, on_graph, walked_pairs
@@ -132,7 +133,32 @@ def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(first)).where("rank <= 7").select("repo", "rank", F.element_at(names, F.col("kind")).alias("kind"), "subject")
 
 
+def node_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's id in drawings, and its label as Cypher and Markdown write it."""
+    nodes = newest_graph(spark, d).nodes
+    return nodes.select("repo", "id", T.element_id(F.col("id")).alias("element"), T.cypher_text(F.col("label")).alias("cypher"), T.markdown_text(F.col("label")).alias("markdown"))
+
+
+def retained_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of each repo from the newest on, and whether a store of five keeps them."""
+    newest = Window.partitionBy("repo").orderBy(F.desc("snapshot_ts"), F.desc("snapshot_no"))
+    log = load(spark, d, "snapshot_log").select("repo", "snapshot_no", "snapshot_ts").distinct().withColumn("age", F.row_number().over(newest))
+    return log.select("repo", "snapshot_no", "age", (F.col("age") <= 5).alias("kept"))
+
+
+def document_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every document with text."""
+    return load(spark, d, "documents").where("text is not null").select("doc_id", T.sentence_count(F.col("text")).alias("n_sentences"))
+
+
+def tech_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each repo by the technology that their suffix shows."""
+    files = load(spark, d, "source_files").select("repo", "source_file").distinct()
+    return files.groupBy("repo", T.tech_tag(F.col("source_file")).alias("tag")).agg(F.count(F.lit(1)).alias("n_files")).where("tag is not null")
+
+
 QUERIES = {
+    "node_keys": node_keys, "retained_snapshots": retained_snapshots, "document_sentences": document_sentences, "tech_tags": tech_tags, "concept_links": on_graph(graph.concept_links),
     "detected_communities": detected_communities, "given_modularity": given_modularity, "question_tokens": question_tokens, "hub_paths": on_graph(retrieval.hub_paths),
     "kept_links": on_graph(lambda g: graph.kept_links(g).select("repo", "source", "target", "relation", "confidence")),
     "matched_communities": lambda s, d: communities.matched(load(s, d, "graph_nodes"), load(s, d, "snapshot_log")),
@@ -182,4 +208,11 @@ co as (select x.repo, x.community, x.nn from (select repo, community, count(*) a
 al as (select distinct repo, 1 as kind, 0 as weight, source || ' ? ' || target as subject from kl where valid_until is null and confidence = 'AMBIGUOUS' union all select repo, 2, nf, id from br union all select repo, 3, ni, id from vi
 union all select repo, 4, 0, id from k where degree <= 1 and not is_file and not is_concept union all select repo, 5, nn, community::varchar from co)
 select repo, rank, ['ambiguous_edge', 'bridge_node', 'verify_inferred', 'isolated_nodes', 'low_cohesion'][kind] as kind, subject from (select *, row_number() over (partition by repo order by kind, weight desc, subject) as rank from al) where rank <= 7""",
+    "node_keys": _BASE + r"select repo, id, substring(sha256(id), 1, 16) as element, replace(replace(label, '\', '\\'), '''', '\''') as cypher, replace(replace(replace(label, '`', ''''), '<', '&lt;'), '>', '&gt;') as markdown from n",
+    "retained_snapshots": "select repo, snapshot_no, age, age <= 5 as kept from (select *, row_number() over (partition by repo order by snapshot_ts desc, snapshot_no desc) as age from (select distinct repo, snapshot_no, snapshot_ts from snapshot_log))",
+    "document_sentences": r"select doc_id, (case when t = '' then 0 else len(regexp_extract_all(t, '[.!?][ \t\r\n]+')) + 1 end)::int as n_sentences from (select doc_id, regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') as t from documents where text is not null)",
+    "tech_tags": "select repo, tag, count(*) as n_files from (select distinct repo, source_file from source_files) join (values " + ", ".join(f"('{s}', '{t}')" for s, t in T.TECH_TAGS.items()) + r") m(suffix, tag) on lower(regexp_extract(source_file, '\.([^./]+)$', 1)) = suffix group by all",
+    "concept_links": _KEPT + """, x as (select repo, case when relation = 'implemented_by' then target else source end as s, case when relation = 'implemented_by' then source else target end as t, case confidence when 'EXTRACTED' then 3 when 'INFERRED' then 2 when 'AMBIGUOUS' then 1 else 0 end as tier, confidence_score from kl where relation in ('implements', 'implemented_by')),
+y as (select x.*, coalesce(b.file_type = 'code', false) and not coalesce(a.file_type = 'code', false) as turned from x join n a on a.repo = x.repo and a.id = s join n b on b.repo = x.repo and b.id = t), z as (select repo, case when turned then t else s end as source, case when turned then s else t end as target, tier, confidence_score from y)
+select repo, source, target, n_rows, best as tier, confidence_score from (select repo, source, target, row_number() over (partition by repo, least(source, target), greatest(source, target) order by tier desc, coalesce(confidence_score, -1) desc, source, target) as r, count(*) over g as n_rows, max(tier) over g as best, max(confidence_score) over g as confidence_score from z window g as (partition by repo, least(source, target), greatest(source, target))) where r = 1""",
 }
