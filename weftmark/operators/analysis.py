@@ -121,10 +121,11 @@ def contradictions(graph: Graph) -> DataFrame:
     return rows.groupBy("repo", F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).agg(F.max("confidence_score").alias("score"))
 
 
-def supersession_chains(graph: Graph, most_steps: int = 100) -> DataFrame:
+def supersession_chains(graph: Graph) -> DataFrame:
     """Paths of supersedes links from a node that nothing supersedes to one that supersedes nothing.
 
-    Each round extends all open paths by one link; a node already on the path is not entered again.
+    Each round extends all open paths by one link; a node already on the path is not entered again, so the
+    rounds end.
     """
     from ..plans.scratch import materialize
 
@@ -133,7 +134,7 @@ def supersession_chains(graph: Graph, most_steps: int = 100) -> DataFrame:
     roots = step.select("repo", F.col("source").alias("id")).distinct().join(step.select("repo", F.col("target").alias("id")).distinct(), ["repo", "id"], "left_anti")
     open_paths = materialize(roots.select("repo", F.col("id").alias("last"), F.array("id").alias("path")), "paths")
     done = None
-    for _ in range(most_steps):
+    while True:
         onward = open_paths.join(step.withColumnRenamed("source", "last"), ["repo", "last"], "left").withColumn("ends", F.col("target").isNull())
         onward = materialize(onward.where(F.col("ends") | ~F.array_contains("path", F.coalesce("target", F.lit("")))).select("repo", "path", "target", "ends"), "paths")
         closed = onward.where("ends").select("repo", "path")
