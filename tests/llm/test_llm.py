@@ -113,6 +113,36 @@ def test_file_kinds(spark):
     assert handwritten.file_kinds(files.limit(0), libraries.limit(0)).count() == 0
 
 
+def alike(x, y):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+    return bool(x | y) and len(x & y) >= handwritten.SIMILAR * len(x | y)
+
+
+def test_every_patched_copy_is_found(spark):
+    """Copies of a library text patched each for itself, below the limit to each other, and smaller families without a library."""
+    draw = random.Random(3)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+
+    def patched(text, n):
+        return [f"p{draw.randrange(10**6)}" if i in at else w for at in [draw.sample(range(5, len(text) - 5, 6), n)] for i, w in enumerate(text)]
+
+    kept = words(300)
+    texts = [(None, kept), *((f"r{i}", patched(kept, 6)) for i in range(40))]
+    for family in range(30):
+        start = words(draw.choice([20, 60, 150]))
+        texts += [(f"r{draw.randrange(4)}", patched(start, draw.randrange(len(start) // 20 + 1) % 4)) for _ in range(4)]
+    texts += [("r1", ["short", "words"]), ("r2", ["short", "words"]), ("r1", ["of", "one"]), ("r1", []), ("r2", [])]
+    unlike = sum(not alike(x, y) for _, x in texts[1:41] for _, y in texts[1:41])
+    assert all(alike(kept, x) for _, x in texts[:41]) and unlike > 1000
+    near = [[j for j, (_, y) in enumerate(texts) if x and (x == y or alike(x, y))] for _, x in texts]
+    spread = {i for i, js in enumerate(near) if any(texts[j][0] is None or texts[j][0] != texts[i][0] for j in js)}
+    expected = {i for i, js in enumerate(near) if i in spread or spread & set(js)} - {0}
+    files = spark.createDataFrame([(r, f"f{i}", " ".join(t), None) for i, (r, t) in enumerate(texts) if r], "repo string, source_file string, file_text string, modified_at timestamp")
+    libraries = spark.createDataFrame([("kept", " ".join(kept))], "file_name string, file_text string")
+    got = {int(r.source_file[1:]) for r in handwritten.file_evidence(files, libraries).where("copied").collect()}
+    assert got == expected and set(range(1, 41)) < got < set(range(1, len(texts)))
+
+
 def test_shingles_against_brute_force():
     words = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 9, 9], np.uint64)
     sets = handwritten.shingle_sets(words, np.array([11, 2, 0]))

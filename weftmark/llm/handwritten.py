@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
@@ -57,8 +58,12 @@ FOLDERS = [
 #: Kind of a child given its folder's, and the kinds' shares to begin with.
 SAME, OTHER = 0.8, 0.05
 PRIOR = [0.76, 0.08, 0.05, 0.07, 0.04]
-BANDS, ROWS = 16, 6
 SIMILAR = 0.8
+#: Shingles whose frequency in a sample of the texts puts them last; the order saves time and loses no pair.
+HOT_SHINGLES, SAMPLED = 100_000, 16
+
+
+_NO_WORD = np.uint64(xxhash.xxh64_intdigest(""))
 
 
 def _word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,24 +85,29 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray, length: int = 5) -> list[
     return [np.unique(total[e - n : max(e - length + 1, e - n)]) if n >= length else np.zeros(0, np.uint64) for e, n in zip(ends, sizes, strict=True)]
 
 
-def _signature(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of BANDS bands of ROWS minima; texts without shingles get none."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    seeds = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        a, b = seeds * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1), seeds * np.uint64(0x94D049BB133111EB)
-        low = np.empty(len(seeds), np.uint64)
-        for at in range(0, len(shingles), 4096):
-            x = shingles[at : at + 4096, None] * a + b
-            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)).min(0)
-            low = x if at == 0 else np.minimum(low, x)
-        rows = low.reshape(BANDS, ROWS)
-        out = np.arange(BANDS, dtype=np.uint64)
-        for i in range(ROWS):
-            out = (out ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def _prefixes(hot: np.ndarray):
+    """Each text's rarest shingles, as many as any text at SIMILAR or more must share one of: (shingle, text_key, n, open).
+
+    Shingles stand in one order for all texts: those not in ``hot`` first, then the hot ones, most frequent last.
+    """
+    values, rank = np.sort(hot), len(hot) - np.argsort(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, unsettled, lists = batch.columns
+            flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            text = np.repeat(np.arange(len(size)), size)
+            place = np.zeros(len(flat), np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+                place = np.where(values[at] == flat, rank[at], 0)
+            order = np.lexsort((flat, place, text))
+            least = np.ceil(SIMILAR * size - 1e-9).astype(np.int64)
+            kept = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) <= np.repeat(size - least, size)
+            owner = text[order][kept]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), keys.take(pa.array(owner)), pa.array(size[owner].astype(np.int32)), unsettled.take(pa.array(owner))], names=["shingle", "text_key", "n", "open"])
+
+    return run
 
 
 def regular_shares(texts: pa.Array) -> np.ndarray:
@@ -120,9 +130,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(words, sizes)
             ends = np.cumsum(sizes)
             keys = [xxhash.xxh128_hexdigest(words[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
-            bands = [_signature(s) for s in sets]
-            lists = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([repo, path, pa.array(keys), pa.array(sizes.astype(np.int32)), lists(sets), lists(bands), pa.array(regular_shares(texts))], names=["repo", "source_file", "text_key", "n_words", "shingles", "bands", "regular"])
+            # splitting a text without words gives one empty word
+            n_words = np.where([n == 1 and words[e - 1] == _NO_WORD for e, n in zip(ends, sizes, strict=True)], 0, sizes)
+            lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([repo, path, pa.array(keys), pa.array(n_words.astype(np.int32)), lists, pa.array(regular_shares(texts))], names=["repo", "source_file", "text_key", "n_words", "shingles", "regular"])
 
 
 def latest_files(files: DataFrame) -> DataFrame:
@@ -131,30 +142,68 @@ def latest_files(files: DataFrame) -> DataFrame:
     return rows.select("repo", "source_file", F.col("row.file_text").alias("file_text"))
 
 
+def near_pairs(texts: DataFrame, first_leads: int = 4) -> DataFrame:
+    """Pairs (text_key, lead, spread) at SIMILAR or more of ``texts`` (text_key, repo, shared, shingles), enough to settle every text.
+
+    Texts are alike only if they share a shingle of their prefixes, so members of a prefix shingle are
+    candidates. A text is open until a pair shows that another repo or a library holds it too. In each
+    round a shingle's first open texts lead: each is compared with all other members, then leaves the
+    shingle. So a text that stays open has met all its candidates, and the many copies of one text,
+    settled by their first common lead, make no pairs among themselves.
+    """
+    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
+    hot = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toArrow()
+    prefixes = materialize(texts.select("text_key", (~F.col("shared")).alias("open"), "shingles").mapInArrow(_prefixes(hot["shingle"].to_numpy()), "shingle bigint, text_key string, n int, open boolean"), "prefixes")
+
+    def alive(rows: DataFrame) -> DataFrame:
+        count = F.count(F.lit(1)).alias("size")
+        held = materialize(rows.groupBy("shingle").agg(count, F.max("open").alias("any")).where("any and size > 1").select("shingle", "size"), "held")
+        return materialize(join_groups(rows, held, ["shingle"]), "members")
+
+    members, leads, found = alive(prefixes), first_leads, []
+    while not members.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("shingle").orderBy("text_key"))
+        leading = materialize(members.where("open").withColumn("turn", turn).where(F.col("turn") <= leads).select("shingle", "text_key", "n"), "leading")
+        sized = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
+        groups = materialize(leading.groupBy("shingle").agg(F.collect_list(F.struct("text_key", "n")).alias("leads")).join(sized, "shingle"), "leads")
+        met = join_groups(members, groups, ["shingle"]).select("text_key", "n", "open", F.explode("leads").alias("l"))
+        # an open member before a lead leads itself, so each pair of leads is met from one side
+        met = met.where((F.col("text_key") > F.col("l.text_key")) | ~F.col("open"))
+        met = met.where((F.least("n", "l.n") >= SIMILAR * F.greatest("n", "l.n") - 1e-6) & (F.col("text_key") != F.col("l.text_key")))
+        pairs = materialize(met.select("text_key", F.col("l.text_key").alias("lead")).distinct(), "pairs")
+        lead = texts.select(F.col("text_key").alias("lead"), F.col("repo").alias("lead_repo"), F.col("shingles").alias("held"))
+        sizes = materialize(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(lead, "lead"), "centres")
+        compared = join_groups(pairs.join(texts, "text_key"), sizes, ["lead"])
+        both = F.size(F.array_intersect("shingles", "held"))
+        spread = F.col("shared") | ~F.col("repo").eqNullSafe(F.col("lead_repo"))
+        near = materialize(compared.where(both >= SIMILAR * (F.size("shingles") + F.size("held") - both)).select("text_key", "lead", spread.alias("spread")), "near_copies")
+        found.append(near)
+        settled = materialize(_ends(near.where("spread")).withColumn("settled", F.lit(True)), "settled")
+        rest = members.join(leading, ["shingle", "text_key"], "left_anti").join(settled, "text_key", "left")
+        members = alive(rest.select("shingle", "text_key", "n", (F.col("open") & F.col("settled").isNull()).alias("open")))
+        leads *= 4
+    return reduce(DataFrame.unionByName, found) if found else texts.limit(0).select("text_key", F.col("text_key").alias("lead"), F.col("shared").alias("spread"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("text_key", "lead")).alias("text_key")).distinct()
+
+
 def copied_texts(table: DataFrame, least_words: int = 20) -> DataFrame:
-    """Keys of texts that two repos or a library hold, alike or nearly: (text_key).
+    """Keys of texts that two repos or a library hold, alike or nearly, and of near copies of those in a repo: (text_key).
 
-    Identical texts are collapsed first. Texts that share a band are each compared with the band's
-    first text only, so a band with many members makes no pairs among them.
+    Identical texts are collapsed first, of any length that has words; near copies are sought from ``least_words`` on.
     """
     texts = materialize(
-        table.where(F.col("n_words") >= least_words).groupBy("text_key")
-        .agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.max(F.col("repo").isNull()).alias("library"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")),
+        table.where("n_words > 0").groupBy("text_key")
+        .agg(F.min("repo").alias("repo"), F.max("repo").alias("high"), F.max(F.col("repo").isNull()).alias("library"), F.first("shingles").alias("shingles"), F.max("n_words").alias("n_words"))
+        .select("text_key", "repo", (F.col("library") | (F.col("repo") != F.col("high"))).alias("shared"), "shingles", "n_words"),
         "texts",
     )
-    banded = texts.select("text_key", F.posexplode("bands").alias("band_no", "band"))
-    centres = materialize(banded.groupBy("band_no", "band").agg(F.min("text_key").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "bands")
-    pairs = materialize(join_groups(banded, centres, ["band_no", "band"]).where("text_key <> centre").select("text_key", "centre").distinct(), "pairs")
-    sizes = materialize(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).join(texts.select(F.col("text_key").alias("centre"), F.col("shingles").alias("held")), "centre"), "centres")
-    compared = join_groups(pairs.join(texts.select("text_key", "shingles", "low", "high", "library"), "text_key"), sizes, ["centre"])
-    both = F.size(F.array_intersect("shingles", "held"))
-    near = materialize(compared.where(both >= SIMILAR * (F.size("shingles") + F.size("held") - both)).select("text_key", "centre", "low", "high", "library"), "near_copies")
-    held = texts.select("text_key", F.col("text_key").alias("centre"), "low", "high", "library")
-    everyone = near.unionByName(held.join(near.select(F.col("centre").alias("text_key")).distinct(), "text_key", "left_semi"))
-    spread = lambda: F.max("library") | (F.min("low") != F.max("high"))
-    groups = everyone.groupBy("centre").agg(spread().alias("spread")).where("spread").select("centre")
-    alone = texts.where(F.col("library") | (F.col("low") != F.col("high"))).select("text_key")
-    return everyone.select("text_key", "centre").join(groups, "centre", "left_semi").select("text_key").unionByName(alone).distinct()
+    near = near_pairs(texts.where(F.col("n_words") >= least_words).drop("n_words"))
+    spread = materialize(texts.where("shared").select("text_key").unionByName(_ends(near.where("spread"))).distinct(), "spread")
+    inner = near.where("not spread").select(F.explode(F.array(F.struct("text_key", F.col("lead").alias("by")), F.struct(F.col("lead").alias("text_key"), F.col("text_key").alias("by")))).alias("p")).select("p.*")
+    return inner.join(spread.withColumnRenamed("text_key", "by"), "by", "left_semi").select("text_key").unionByName(spread).distinct()
 
 
 def _findings() -> dict[str, Column]:
@@ -247,7 +296,7 @@ def file_evidence(files: DataFrame, libraries: DataFrame) -> DataFrame:
     own = materialize(latest_files(files), "files")
     known = libraries.where("file_text is not null").select(F.lit(None).cast("string").alias("repo"), F.col("file_name").alias("source_file"), "file_text")
     given = own.select(F.coalesce("repo", F.lit("")).alias("repo"), "source_file", "file_text").unionByName(known)
-    table = materialize(given.mapInArrow(_features, "repo string, source_file string, text_key string, n_words int, shingles array<bigint>, bands array<bigint>, regular double"), "features")
+    table = materialize(given.mapInArrow(_features, "repo string, source_file string, text_key string, n_words int, shingles array<bigint>, regular double"), "features")
     copied = materialize(copied_texts(table), "copied")
     sized = materialize(table.where("repo is not null").groupBy("text_key").agg(F.count(F.lit(1)).alias("size")).join(copied.withColumn("found", F.lit(True)), "text_key", "left").select("text_key", "size", F.coalesce("found", F.lit(False)).alias("copied")), "copied_sizes")
     looked = join_groups(table.where("repo is not null").select("repo", "source_file", "text_key", "regular"), sized, ["text_key"])
