@@ -6,6 +6,7 @@ from datetime import datetime
 from weftmark.operators import format_duplicates, heavy_keys, orphan_references, snapshot_diff
 from weftmark.operators.orphan_references import ForeignKey
 from weftmark.operators.snapshot_diff import Snapshotted
+from weftmark.plans import problems
 from pyspark.sql import functions as F
 
 NODE = "repo string, snapshot_no int, id string, label string, community int, loaded_at timestamp, fp string, row string"
@@ -57,6 +58,23 @@ def test_versioned_orphans(spark):
     assert orphan_references.versioned_orphans(refs.limit(0), nodes).count() == 0
 
 
+def test_p2_found_takes_the_cascades_direct_orphans(spark, tmp_path, monkeypatch):
+    tables = {
+        "graph_nodes": ([("r", 1, "a"), ("r", 3, "b"), ("r", 2, None), ("s", 2, "c")], "repo string, snapshot_no int, id string"),
+        "agent_edges": ([("r", 2, "a", "b"), ("r", 2, "a", "c"), ("r", 1, "a", None), ("r", 1, None, "z"), ("s", 2, "c", "c"), (None, 2, "a", None)], "repo string, snapshot_no int, from_id string, to_id string"),
+        "annotations": ([("r", 3, "a"), ("r", 3, "a"), ("r", 3, None)], "repo string, snapshot_no int, id string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    cascade, used = orphan_references.orphan_cascade, []
+    monkeypatch.setattr(orphan_references, "orphan_cascade", lambda *a: used.append(len(a[1])) or cascade(*a))
+    assert rows(problems.p2_found(spark, str(tmp_path))) == [
+        ("agent_edges", "from_id", "r", 2, "a", "deleted"), ("agent_edges", "from_id", None, 2, "a", "missing"), ("agent_edges", "to_id", "r", 1, "z", "missing"), ("agent_edges", "to_id", "r", 2, "b", "later"),
+        ("agent_edges", "to_id", "r", 2, "c", "missing"), ("annotations", "id", "r", 3, "a", "deleted"),
+    ]
+    assert used == [3]
+
+
 def test_cascade_follows_chains_and_cycles(spark):
     tables = {
         "part": spark.createDataFrame([("p1", "lost"), ("p2", "p1"), ("p3", "p2"), ("p4", None), ("p5", "p5"), ("p6", "p4"), ("p6", "p4")], "id string, whole string"),

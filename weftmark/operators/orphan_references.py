@@ -90,6 +90,13 @@ def presence(parents: DataFrame, keys: list[str], version: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_set(F.col(version).cast("int")).alias("present_in"))
 
 
+def orphan_kinds(orphans: DataFrame, parents: DataFrame, parent_key: str = "id", scope: str = "repo", version: str = "snapshot_no") -> DataFrame:
+    """``orphans`` (with ``ref_id``, scope and version) with ``orphan_kind`` by the versions that hold the parent, as :func:`versioned_orphans` gives it."""
+    known = presence(parents, [scope, parent_key], version).withColumnRenamed(parent_key, "ref_id")
+    kind = F.when(F.col("present_in").isNull(), "missing").when(F.array_min("present_in") < F.col(version), "deleted").otherwise("later")
+    return orphans.join(known, [scope, "ref_id"], "left").withColumn("orphan_kind", kind).drop("present_in")
+
+
 def versioned_orphans(refs: DataFrame, parents: DataFrame, parent_key: str = "id", scope: str = "repo", version: str = "snapshot_no") -> DataFrame:
     """Distinct references (with ``ref_id``, scope and version) whose parent is absent in that version.
 

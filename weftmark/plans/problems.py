@@ -36,11 +36,26 @@ def p1_changed_values(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """References to nodes that the same repo's snapshot does not hold."""
-    edges, notes = load(spark, d, "agent_edges"), load(spark, d, "annotations")
-    ref = lambda df, table, field: df.select(F.lit(table).alias("in_table"), F.lit(field).alias("in_field"), "repo", "snapshot_no", F.col(field).alias("ref_id"))
-    refs = ref(edges, "agent_edges", "from_id").unionByName(ref(edges, "agent_edges", "to_id")).unionByName(ref(notes, "annotations", "id"))
-    found = orphan_references.versioned_orphans(refs, load(spark, d, "graph_nodes"))
-    return found.select("in_table", "in_field", "repo", "snapshot_no", "ref_id", "orphan_kind")
+    tables = {"agent_edges": load(spark, d, "agent_edges"), "annotations": load(spark, d, "annotations"), "graph_nodes": load(spark, d, "graph_nodes").where("id is not null")}
+    cascade = orphan_references.orphan_cascade(tables, _node_references())
+    ref = F.col("ref")
+    direct = cascade.where("level = 0").select("in_table", "in_field", ref[0].alias("repo"), ref[1].cast("int").alias("snapshot_no"), ref[2].alias("ref_id"))
+    # without a repo or snapshot a value is no key, so the cascade leaves it out, yet no node answers it
+    for table, field in (("agent_edges", "from_id"), ("agent_edges", "to_id"), ("annotations", "id")):
+        unplaced = tables[table].where(F.col(field).isNotNull() & (F.col("repo").isNull() | F.col("snapshot_no").isNull()))
+        direct = direct.unionByName(unplaced.select(F.lit(table).alias("in_table"), F.lit(field).alias("in_field"), "repo", F.col("snapshot_no").cast("int").alias("snapshot_no"), F.col(field).alias("ref_id")))
+    return orphan_references.orphan_kinds(direct.distinct(), tables["graph_nodes"]).select("in_table", "in_field", "repo", "snapshot_no", "ref_id", "orphan_kind")
+
+
+def _node_references() -> list[ForeignKey]:
+    """Both ends of agent edges and the node of an annotation."""
+    node = ("repo", "snapshot_no", "id")
+    edge = ("repo", "snapshot_no", "from_id", "to_id")
+    return [
+        ForeignKey("agent_edges", ("repo", "snapshot_no", "from_id"), "graph_nodes", node, edge),
+        ForeignKey("agent_edges", ("repo", "snapshot_no", "to_id"), "graph_nodes", node, edge),
+        ForeignKey("annotations", node, "graph_nodes", node, node),
+    ]
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
@@ -55,14 +70,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
         "annotations": load(spark, d, "annotations"),
         "source_files": load(spark, d, "source_files"),
     }
-    node = ("repo", "snapshot_no", "id")
-    edge = ("repo", "snapshot_no", "from_id", "to_id")
-    cascade = orphan_references.orphan_cascade(tables, [
-        ForeignKey("graph_nodes", ("repo", "source_file"), "source_files", ("repo", "source_file"), node),
-        ForeignKey("agent_edges", ("repo", "snapshot_no", "from_id"), "graph_nodes", node, edge),
-        ForeignKey("agent_edges", ("repo", "snapshot_no", "to_id"), "graph_nodes", node, edge),
-        ForeignKey("annotations", node, "graph_nodes", node, node),
-    ])
+    file = ForeignKey("graph_nodes", ("repo", "source_file"), "source_files", ("repo", "source_file"), ("repo", "snapshot_no", "id"))
+    cascade = orphan_references.orphan_cascade(tables, [file, *_node_references()])
     return cascade.groupBy("in_table", "in_field", F.col("record")[1].cast("int").alias("snapshot_no")).agg(
         F.count(F.when(F.col("level") == 0, 1)).alias("n_direct"), F.count(F.when(F.col("level") > 0, 1)).alias("n_inherited"),
     )
