@@ -58,6 +58,23 @@ def test_large_communities_are_divided(spark):
     assert all(r.community == min(x.id for x in rows if x.community == r.community) for r in rows)
 
 
+def test_no_two_communities_are_left_to_merge(spark):
+    """Of a long chain every two linked communities together would have less modularity than apart."""
+    n = 600
+    ends = [(f"n{i:04}", f"n{i + 1:04}") for i in range(n - 1)]
+    edges = spark.createDataFrame([(("r", ""), a, b, 1) for x, y in ends for a, b in ((x, y), (y, x))], "scope struct<repo: string, part: string>, id string, other string, w bigint")
+    label = {r.id: r.label for r in communities.partition(edges).collect()}
+    assert len(label) == n
+    total, between = {}, {}
+    for x, y in ends:
+        for i in (x, y):
+            total[label[i]] = total.get(label[i], 0) + 1
+        if label[x] != label[y]:
+            pair = frozenset((label[x], label[y]))
+            between[pair] = between.get(pair, 0) + 1
+    assert between and all(w * 2 * len(ends) <= total[a] * total[b] for (a, b), w in between.items())
+
+
 def test_empty_and_linkless(spark):
     none = Graph(spark.createDataFrame([], NODES), spark.createDataFrame([], LINKS))
     assert communities.detect(none).count() == 0 and retrieval.hub_paths(none).count() == 0 and traversal.layers(none.links, ["uses"]).count() == 0

@@ -12,13 +12,13 @@ from .graph import Graph, incident, kept_links, pairs, whole_links
 from .history import standing_nodes
 
 
-def _moved(edges: DataFrame, state: DataFrame, most_rounds: int) -> DataFrame:
-    """Rounds of moves: each node joins the neighbouring community of greatest gain in modularity.
+def _moved(edges: DataFrame, state: DataFrame, guard: int = 10_000) -> DataFrame:
+    """Rounds of moves until no node gains by one: each joins the neighbouring community of greatest gain in modularity.
 
     Weights are whole numbers, so gains are exact. About half of the nodes, another half every round,
     may move at a time: neighbours that move at once would chase each other.
     """
-    for at in range(most_rounds):
+    for at in range(guard):
         near = edges.join(state.select("scope", F.col("id").alias("other"), "label"), ["scope", "other"]).select("scope", "id", "label", "k", "two_m", "w", F.lit(False).alias("home"))
         stay = state.select("scope", "id", "label", "k", "two_m", F.lit(0).cast("bigint").alias("w"), F.lit(True).alias("home"))
         near = near.unionByName(stay).groupBy("scope", "id", "label", "k", "two_m").agg(F.sum("w").alias("w"), F.max("home").alias("home"))
@@ -30,14 +30,15 @@ def _moved(edges: DataFrame, state: DataFrame, most_rounds: int) -> DataFrame:
         moved = materialize(moved, "labels")
         state = moved.drop("restless")
         if moved.where("restless").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"nodes still move after {guard} rounds")
 
 
-def partition(edges: DataFrame, most_rounds: int = 6, most_levels: int = 3) -> DataFrame:
+def partition(edges: DataFrame) -> DataFrame:
     """(scope, id, label) of the nodes at ``edges`` (scope, id, other, w), given in both directions without loops.
 
-    After each level of moves the communities become the nodes of a smaller graph and move in turn.
+    After each level of moves the communities become the nodes of a smaller graph and move in turn,
+    until a level merges nothing; every level but the last has fewer nodes than the one before.
     All scopes run in the same rounds; each round and each smaller graph is written to the shared folder.
     """
     plain = materialize(edges, "weighed")
@@ -49,11 +50,11 @@ def partition(edges: DataFrame, most_rounds: int = 6, most_levels: int = 3) -> D
     member = state.select("scope", "id", "label")
     weighed = lambda df, s: materialize(df.join(s.select("scope", "id", "k", "two_m"), ["scope", "id"]), "weighed")
     edges = weighed(plain, state)
-    for _ in range(most_levels):
-        state = _moved(edges, state, most_rounds)
+    while True:
+        state = _moved(edges, state)
         lead = state.select("scope", F.col("id").alias("label"), F.col("label").alias("lead"))
         member = materialize(member.join(lead, ["scope", "label"]).select("scope", "id", F.col("lead").alias("label")), "members")
-        if state.where("id <> label").isEmpty():
+        if state.select("scope", "label").distinct().count() == state.count():
             break
         ends = lead.withColumnRenamed("label", "id")
         state = materialize(state.groupBy("scope", "label", "two_m").agg(F.sum("k").alias("k")).select("scope", F.col("label").alias("id"), "label", "k", "two_m"), "labels")
