@@ -113,6 +113,15 @@ def test_hub_path_is_the_first_shortest(spark):
     assert [tuple(r)[3:] for r in retrieval.hub_paths(g, 1).collect()] == [(None, None)]
 
 
+def test_hub_path_of_any_length(spark):
+    chain = ["h", *(f"m{i}" for i in range(8)), "k"]
+    ends = [*zip(chain, chain[1:]), *(("h", x) for x in "abcd"), *(("k", x) for x in "efg")]
+    apart = [("h", x) for x in "abc"] + [("k", x) for x in "ef"]
+    nodes = [node(i, label=i) for i in sorted({i for e in ends for i in e})] + [node(i, "s", label=i) for i in "habckef"]
+    g = Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame([link(x, y) for x, y in ends] + [link(x, y, repo="s") for x, y in apart], LINKS))
+    assert sorted(tuple(r) for r in retrieval.hub_paths(g).collect()) == [("r", "h", "k", " > ".join(chain), 9), ("s", "h", "k", None, None)]
+
+
 def test_layers(spark):
     links = spark.createDataFrame([link("a", "b"), link("b", "c"), link("a", "c"), link("c", "x"), link("x", "y"), link("y", "x"), link("y", "z"), link("a", "q", "other"), link("b", None)], LINKS)
     assert {r.id: r.layer for r in traversal.layers(links, ["uses"]).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.scratch import materialize
+from ..plans.scratch import broadcast_if_small, materialize
 from .graph import Graph, hubs, incident, kept_links, pairs
 from .traversal import levels
 
@@ -50,19 +50,29 @@ def question_tokens(graph: Graph, files: DataFrame, questions: list[str] | None
     return asked.join(corpus, "repo", "left").select("repo", texted.alias("question"), "query_tokens", "corpus_tokens", (F.col("corpus_tokens") / F.col("query_tokens")).alias("reduction"))
 
 
-def hub_paths(graph: Graph, most_steps: int = 6) -> DataFrame:
-    """The shortest path between the first two hubs of each repo, the first one by its ids; null beyond ``most_steps`` links.
+def hub_paths(graph: Graph, most_steps: int | None = None) -> DataFrame:
+    """The shortest path between the first two hubs of each repo, the first one by its ids; null if they are not connected, or only beyond ``most_steps`` links.
 
-    Each level keeps one path per node, the least of those that reach it, so levels stay as small as the graph.
+    Each level keeps one path per node, the least of those that reach it, so levels stay as small as the graph. A repo
+    is left out once its target is reached; links go both ways, so only the two levels before can hold a node again.
     """
     ranked = materialize(hubs(graph, 2).select("repo", "rank", "id"), "hubs")
     steps = materialize(incident(pairs(graph.links)), "steps")
-    seen = frontier = materialize(ranked.where("rank = 1").select("repo", "id", F.array("id").alias("path")), "level")
-    for _ in range(most_steps):
-        onward = frontier.join(steps, ["repo", "id"]).select("repo", F.col("other").alias("id"), F.array_append("path", F.col("other")).alias("path"))
-        fresh = onward.join(seen.select("repo", "id"), ["repo", "id"], "left_anti").groupBy("repo", "id").agg(F.min("path").alias("path"))
-        frontier = materialize(fresh, "level")
-        seen = seen.unionByName(frontier)
     to = ranked.where("rank = 2").select("repo", F.col("id").alias("target"))
-    found = to.join(seen.select("repo", F.col("id").alias("target"), "path"), ["repo", "target"], "left")
+    before = frontier = materialize(ranked.where("rank = 1").select("repo", "id", F.array("id").alias("path")).join(to.select("repo"), "repo", "left_semi"), "level")
+    reached = materialize(frontier.limit(0).select("repo", F.col("id").alias("target"), "path"), "reached")
+    at = 0
+    while (most_steps is None or at < most_steps) and not frontier.isEmpty():
+        onward = frontier.join(steps, ["repo", "id"]).select("repo", F.col("other").alias("id"), F.array_append("path", F.col("other")).alias("path"))
+        seen = frontier.select("repo", "id").unionByName(before.select("repo", "id"))
+        level = materialize(onward.join(seen, ["repo", "id"], "left_anti").groupBy("repo", "id").agg(F.min("path").alias("path")), "level")
+        hits = materialize(level.withColumnRenamed("id", "target").join(to, ["repo", "target"], "left_semi").select("repo", "target", "path"), "hits")
+        before = frontier
+        if hits.isEmpty():
+            frontier = level
+        else:
+            reached = materialize(reached.unionByName(hits), "reached")
+            frontier = materialize(level.join(broadcast_if_small(hits.select("repo")), "repo", "left_anti"), "level")
+        at += 1
+    found = to.join(reached, ["repo", "target"], "left")
     return ranked.where("rank = 1").select("repo", F.col("id").alias("source")).join(found, "repo").select("repo", "source", "target", F.array_join("path", " > ").alias("path"), (F.when(F.col("path").isNotNull(), F.size("path") - 1)).alias("n_steps"))
