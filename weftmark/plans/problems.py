@@ -61,8 +61,8 @@ def _node_references() -> list[ForeignKey]:
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphaned records per table, field and snapshot number, direct ones and those that hang on them.
 
-    Foreign keys: both ends of agent edges, the node of an annotation, the file of a node, and an
-    annotated edge end's own node; a node without its file passes its state on.
+    Foreign keys: both ends of agent edges, the node of an annotation, and the file of a node; a node
+    without its file passes its state on. ``annotations.peer_id`` is not checked.
     """
     tables = {
         "graph_nodes": load(spark, d, "graph_nodes").withColumn("source_file", F.when(F.col("source_file") != "", F.col("source_file"))).where("id is not null"),
