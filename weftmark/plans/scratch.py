@@ -1,19 +1,21 @@
 """Intermediate tables: written to the folder all executors share, read back without lineage.
 
 A written table survives the loss of any executor and cuts the plan of an iterative job. The folder
-is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a single machine) a
-temporary folder is used.
+is ``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder is used on a
+local master, where all tasks share one machine; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -24,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if base:
         return f"{base.rstrip('/')}/weftmark-{app}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="weftmark-")
         atexit.register(shutil.rmtree, _own[app], True)
@@ -35,11 +39,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once as parquet in the shared folder and return a DataFrame over the written files."""
+    """Write ``df`` once as parquet in the shared folder and return a DataFrame over the written files.
+
+    With ``partition_by`` each value of those columns gets a folder of its own, so that a filter on them reads no other.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -65,19 +72,40 @@ class BucketedTable:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def drop(self) -> None:
+    def forget(self) -> None:
+        """Take the table out of the catalog; its files stay readable by path."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def drop(self) -> None:
+        self.forget()
         delete_path(self.spark, self.path)
 
 
-def fits_broadcast(df: DataFrame, most_rows: int = 200_000) -> bool:
-    """Whether a side has at most ``most_rows`` rows; the count stops there, so a large side is refused cheaply."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def _value_bytes(field: T.StructField) -> Column:
+    """About how many bytes a value takes in memory."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def fits_broadcast(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> bool:
+    """Whether a side has at most ``most_rows`` rows and ``most_bytes`` bytes.
+
+    The measurement stops after ``most_rows`` rows, so a large side is refused cheaply. ``df`` should be
+    a written table or a plain scan, since it is read once more for it.
+    """
+    size = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0)).cast("bigint")
+    rows, total = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= most_rows and total <= most_bytes
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``most_rows`` the side is left to a shuffle join."""
-    return F.broadcast(df) if fits_broadcast(df, most_rows) else df
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """The side, computed and written once, with a broadcast hint if it is small enough; else it is left to a shuffle join."""
+    side = materialize(df, "side")
+    return F.broadcast(side) if fits_broadcast(side, most_rows, most_bytes) else side
 
 
 def drop_scratch(spark: SparkSession) -> None:
