@@ -5,6 +5,10 @@ orphaned parent as indirectly orphaned: each round semi-joins the references wit
 round before found, down the foreign-key graph, until a round finds nothing new (a fixpoint, also
 where foreign keys form a cycle).
 
+The keys that are referred to are counted once for each parent, with the parent's own keys in the same
+aggregate; so a key that a third of all rows refer to is one row there, and its rows are found by a
+broadcast instead of a shuffle (:func:`weftmark.plans.skew.join_groups`).
+
 Defined cases: a null in any key column is no reference; repeated rows count once; a record reached
 on several ways is reported at its first level, direct before inherited; empty tables (no parents:
 every reference is an orphan); extra columns are not read.
@@ -15,99 +19,113 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import broadcast_if_small, materialize
+from ..plans.skew import join_small_or_groups
 
 
 @dataclass(frozen=True)
 class ForeignKey:
-    """``child[fields]`` names records of ``parent`` by ``parent_keys``; ``record`` identifies the child's record."""
+    """``child[fields]`` names rows of ``parent`` by ``parent_keys``; ``record`` identifies the child's record.
+
+    ``parent_keys`` may be any columns of the parent. A key that is not ``checked`` reports no direct
+    orphans of its own and only passes its parent's state on.
+    """
 
     child: str
     fields: tuple[str, ...]
     parent: str
     parent_keys: tuple[str, ...]
     record: tuple[str, ...]
+    checked: bool = True
 
+    @property
+    def target(self) -> tuple[str, tuple[str, ...]]:
+        return self.parent, self.parent_keys
 
-def _key(columns: tuple[str, ...]) -> F.Column:
-    return F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)])
 
+def _texts(columns: tuple[str, ...]) -> Column:
+    return F.array(*[F.col(c).cast("string") for c in columns])
 
-def references(tables: dict[str, DataFrame], fk: ForeignKey) -> DataFrame:
-    """Distinct (record, parent key) pairs of a foreign key, combined before the shuffle."""
-    rows = tables[fk.child]
-    for c in fk.fields:
+
+def _with_keys(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows whose ``columns`` are all there, with their text as k0, k1, ..."""
+    for c in columns:
         rows = rows.where(F.col(c).isNotNull())
-    return rows.select(_key(fk.record).alias("record"), _key(fk.fields).alias("ref")).distinct()
+    return rows.withColumns({f"k{i}": F.col(c).cast("string") for i, c in enumerate(columns)})
+
 
+def _key_names(columns: tuple[str, ...]) -> list[str]:
+    return [f"k{i}" for i in range(len(columns))]
 
-def direct_orphans(tables: dict[str, DataFrame], fk: ForeignKey) -> DataFrame:
-    """References of ``fk`` that no parent record answers."""
-    parents = tables[fk.parent].select(_key(fk.parent_keys).alias("ref")).distinct()
-    return references(tables, fk).join(parents, "ref", "left_anti")
 
+def referred_keys(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
+    """Keys that ``keys``, all with one target, refer to: (k0, ..., held, n_0, ...), n_i the rows that refer by the i-th key.
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_rounds: int = 1000) -> DataFrame:
+    Parent rows and references meet in one aggregate, which combines before its shuffle.
+    """
+    names = _key_names(keys[0].parent_keys)
+    sides = [_with_keys(tables[keys[0].parent], keys[0].parent_keys).select(*names, F.lit(-1).alias("by"))]
+    sides += [_with_keys(tables[k.child], k.fields).select(*names, F.lit(i).alias("by")) for i, k in enumerate(keys)]
+    counts = [F.count(F.when(F.col("by") == i, 1)).alias(f"n_{i}") for i in range(len(keys))]
+    return reduce(DataFrame.unionByName, sides).groupBy(*names).agg(F.max(F.col("by") == -1).alias("held"), *counts).where(F.greatest(F.lit(0), *[F.col(f"n_{i}") for i in range(len(keys))]) > 0)
+
+
+def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
     """Orphaned records: (in_table, in_field, record array, ref array, level); level 0 is direct, above that inherited.
 
     ``in_field`` is the last column of the reference. Each round is written to the shared folder, so
-    plans stay short; rounds are as many as the longest chain of foreign keys, never as rows.
+    plans stay short; rounds are as many as the longest chain of orphans. Tables are read in every
+    round that concerns them, so they should be plain scans or written tables.
     """
-    def flat(df: DataFrame, fk: ForeignKey, level: int) -> DataFrame:
-        texts = lambda c, n: F.array(*[F.col(f"{c}.k{i}") for i in range(n)])
-        return df.select(F.lit(fk.child).alias("in_table"), F.lit(fk.fields[-1]).alias("in_field"), texts("record", len(fk.record)).alias("record"), texts("ref", len(fk.fields)).alias("ref"), F.lit(level).alias("level"))
-
-    found = materialize(reduce(DataFrame.unionByName, [flat(direct_orphans(tables, fk), fk, 0) for fk in keys]), "orphans")
-    last = found
-    for level in range(1, max_rounds):
-        rounds = []
-        for fk in keys:
-            # a parent row is named by the columns that identify its record in its own foreign keys
-            lost = next((k for k in keys if k.child == fk.parent and k.record == fk.parent_keys), None)
-            if lost is None:
+    by_target = {t: [k for k in keys if k.target == t] for t in dict.fromkeys(k.target for k in keys)}
+    referred = {t: materialize(referred_keys(tables, own), "referred") for t, own in by_target.items()}
+    asked = {k: list(dict.fromkeys(o.parent_keys for o in keys if o.parent == k.child)) for k in keys}
+
+    def orphaned(fk: ForeignKey, lost: DataFrame, level: int) -> DataFrame:
+        """Records that refer by ``fk`` to keys of ``lost``, with the columns by which others refer to them in turn."""
+        names = _key_names(fk.fields)
+        lost = materialize(lost.select(*names, F.col(f"n_{by_target[fk.target].index(fk)}").alias("size")).where("size > 0"), "lost")
+        given = [_texts(fk.record).alias("record"), _texts(fk.fields).alias("ref"), *[_texts(p).alias(f"as_{i}") for i, p in enumerate(asked[fk])]]
+        rows = _with_keys(tables[fk.child], fk.fields).select(*names, *given)
+        return join_small_or_groups(rows, lost, names).drop(*names).distinct().withColumn("level", F.lit(level))
+
+    last = {k: materialize(orphaned(k, referred[k.target].where("not held"), 0), "orphans") for k in keys if k.checked}
+    found: dict[ForeignKey, list[DataFrame]] = {k: [last[k]] if k in last else [] for k in keys}
+    level = 0
+    while last:
+        level += 1
+        new: dict[ForeignKey, DataFrame] = {}
+        for k in keys:
+            above = [last[o].select(F.col(f"as_{asked[o].index(k.parent_keys)}").alias("as")) for o in last if o.child == k.parent]
+            if not above:
                 continue
-            n = len(fk.parent_keys)
-            gone = last.where(F.col("in_table") == fk.parent).select(F.struct(*[F.col("record")[i].alias(f"k{i}") for i in range(n)]).alias("ref")).distinct()
-            rounds.append(flat(references(tables, fk).join(gone, "ref", "left_semi"), fk, level))
-        if not rounds:
-            break
-        new = reduce(DataFrame.unionByName, rounds).join(found.select("in_table", "record").distinct(), ["in_table", "record"], "left_anti")
-        last = materialize(new, "orphans")
-        if last.isEmpty():
-            break
-        found = found.unionByName(last)
-    return found
-
-
-def presence(parents: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """In which versions each key is present, as an array; its length is bounded by the number of versions."""
-    rows = parents
-    for c in keys:
-        rows = rows.where(F.col(c).isNotNull())
-    return rows.groupBy(*keys).agg(F.collect_set(F.col(version).cast("int")).alias("present_in"))
+            names = _key_names(k.fields)
+            gone = reduce(DataFrame.unionByName, above).select(*[F.col("as")[i].alias(n) for i, n in enumerate(names)]).distinct()
+            rows = orphaned(k, referred[k.target].join(broadcast_if_small(gone), names, "left_semi"), level)
+            seen = [df.select("record") for o in keys if o.child == k.child for df in found[o]]
+            if seen:
+                rows = rows.join(reduce(DataFrame.unionByName, seen), "record", "left_anti")
+            rows = materialize(rows, "orphans")
+            if not rows.isEmpty():
+                new[k] = rows
+        for k, rows in new.items():
+            found[k].append(rows)
+        last = new
+    flat = [df.select(F.lit(k.child).alias("in_table"), F.lit(k.fields[-1]).alias("in_field"), "record", "ref", "level") for k in keys for df in found[k]]
+    return reduce(DataFrame.unionByName, flat)
 
 
 def orphan_kinds(orphans: DataFrame, parents: DataFrame, parent_key: str = "id", scope: str = "repo", version: str = "snapshot_no") -> DataFrame:
-    """``orphans`` (with ``ref_id``, scope and version) with ``orphan_kind`` by the versions that hold the parent, as :func:`versioned_orphans` gives it."""
-    known = presence(parents, [scope, parent_key], version).withColumnRenamed(parent_key, "ref_id")
-    kind = F.when(F.col("present_in").isNull(), "missing").when(F.array_min("present_in") < F.col(version), "deleted").otherwise("later")
-    return orphans.join(known, [scope, "ref_id"], "left").withColumn("orphan_kind", kind).drop("present_in")
-
-
-def versioned_orphans(refs: DataFrame, parents: DataFrame, parent_key: str = "id", scope: str = "repo", version: str = "snapshot_no") -> DataFrame:
-    """Distinct references (with ``ref_id``, scope and version) whose parent is absent in that version.
+    """``orphans`` (with ``ref_id``, scope and version), absent in their version, with ``orphan_kind`` by the versions that hold the parent.
 
-    ``orphan_kind``: deleted where the parent was in an earlier version, later where only in a later
-    one, missing where in none of the scope. One shuffle of either side, by (scope, key).
+    deleted where the parent was in an earlier version, later where only in a later one, missing where
+    in none of the scope. Only versions of the orphans' own keys are looked up.
     """
-    known = presence(parents, [scope, parent_key], version).withColumnRenamed(parent_key, "ref_id")
-    at = F.col(version)
-    kind = F.when(F.col("present_in").isNull(), "missing").when(F.array_min("present_in") < at, "deleted").otherwise("later")
-    return (
-        refs.where(F.col("ref_id").isNotNull()).distinct().join(known, [scope, "ref_id"], "left")
-        .where(F.col("present_in").isNull() | ~F.array_contains(F.coalesce("present_in", F.array().cast("array<int>")), at))
-        .withColumn("orphan_kind", kind).drop("present_in")
-    )
+    asked = orphans.select(scope, F.col("ref_id").alias(parent_key)).distinct()
+    held = parents.join(broadcast_if_small(asked), [scope, parent_key], "left_semi")
+    first = held.groupBy(scope, F.col(parent_key).alias("ref_id")).agg(F.min(F.col(version).cast("int")).alias("first_in"))
+    kind = F.when(F.col("first_in").isNull(), "missing").when(F.col("first_in") < F.col(version), "deleted").otherwise("later")
+    return orphans.join(broadcast_if_small(first), [scope, "ref_id"], "left").withColumn("orphan_kind", kind).drop("first_in")

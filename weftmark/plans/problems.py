@@ -62,7 +62,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphaned records per table, field and snapshot number, direct ones and those that hang on them.
 
     Foreign keys: both ends of agent edges, the node of an annotation, and the file of a node; a node
-    without its file passes its state on. ``annotations.peer_id`` is not checked.
+    without its file passes its state on. ``annotations.peer_id`` names a peer, not a node, so it is no key.
     """
     tables = {
         "graph_nodes": load(spark, d, "graph_nodes").withColumn("source_file", F.when(F.col("source_file") != "", F.col("source_file"))).where("id is not null"),
@@ -77,6 +77,19 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_trails(spark: SparkSession, d: str) -> DataFrame:
+    """What hangs on trails of agent edges that begin at a node that is not there, by how far along it is.
+
+    An edge with a missing end is a direct orphan. An edge that goes on from the end of an orphaned one,
+    and a note about such an end, inherit its state, and so on along the trail.
+    """
+    tables = {"agent_edges": load(spark, d, "agent_edges"), "annotations": load(spark, d, "annotations"), "graph_nodes": load(spark, d, "graph_nodes").where("id is not null")}
+    end, edge, node = ("repo", "snapshot_no", "to_id"), ("repo", "snapshot_no", "from_id", "to_id"), ("repo", "snapshot_no", "id")
+    onward = [ForeignKey("agent_edges", ("repo", "snapshot_no", "from_id"), "agent_edges", end, edge, False), ForeignKey("annotations", node, "agent_edges", end, node, False)]
+    cascade = orphan_references.orphan_cascade(tables, [*_node_references(), *onward])
+    return cascade.groupBy("in_table", "in_field", F.col("record")[1].cast("int").alias("snapshot_no"), "level").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
     """Communities and node ids of the node snapshots, and both ends of the newest links, as one keyed input."""
     nodes, links = load(spark, d, "graph_nodes"), load(spark, d, "graph_links")
@@ -134,7 +147,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return nodes.withColumn("in_table", F.lit("graph_nodes")).unionByName(extracted.withColumn("in_table", F.lit("dedup_composed_extraction"))).select("in_table", "repo", "first_id", "n_copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_changed_values": p1_changed_values, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_profile": p4_profile, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {"p1_found": p1_found, "p1_changed_values": p1_changed_values, "p2_found": p2_found, "p2_report": p2_report, "p2_trails": p2_trails, "p4_found": p4_found, "p4_profile": p4_profile, "p5_found": p5_found, "p5_counts": p5_counts}
 
 _P1 = """
 with log as (select repo, snapshot_no, lag(snapshot_no) over (partition by repo order by snapshot_no) as prev_no from (select distinct repo, snapshot_no from snapshot_log)),
@@ -173,6 +186,22 @@ select in_table, in_field, snapshot_no, sum(direct)::bigint as n_direct, sum(1 -
 select in_table, in_field, snapshot_no, 1 as direct from direct union all select in_table, in_field, snapshot_no, 0 from inherited
 union all select 'graph_nodes', 'source_file', snapshot_no, 1 from (select distinct repo, snapshot_no, id, source_file from graph_nodes g where id is not null and source_file <> '' and not exists (select 1 from source_files f where f.repo = g.repo and f.source_file = g.source_file))) group by all
 """
+_P2_TRAILS = """
+with recursive node as (select distinct repo, snapshot_no, id from graph_nodes where id is not null),
+edge as (select distinct repo, snapshot_no, from_id, to_id from agent_edges where repo is not null and snapshot_no is not null),
+note as (select distinct repo, snapshot_no, id from annotations where repo is not null and snapshot_no is not null and id is not null),
+bad_from as (select * from edge where from_id is not null and not exists (select 1 from node n where n.repo = edge.repo and n.snapshot_no = edge.snapshot_no and n.id = from_id)),
+bad_to as (select * from edge where to_id is not null and not exists (select 1 from node n where n.repo = edge.repo and n.snapshot_no = edge.snapshot_no and n.id = to_id)),
+bad_note as (select * from note where not exists (select 1 from node n where n.repo = note.repo and n.snapshot_no = note.snapshot_no and n.id = note.id)),
+walk as (select *, 0 as level from (select * from bad_from union select * from bad_to) union
+select e.repo, e.snapshot_no, e.from_id, e.to_id, level + 1 from walk w join edge e on e.repo = w.repo and e.snapshot_no = w.snapshot_no and e.from_id = w.to_id where level < 40),
+lv as (select repo, snapshot_no, from_id, to_id, min(level) as level from walk group by all),
+nt as (select note.repo, note.snapshot_no, note.id, min(lv.level) + 1 as level from note join lv on lv.repo = note.repo and lv.snapshot_no = note.snapshot_no and lv.to_id = note.id
+where not exists (select 1 from bad_note b where b.repo = note.repo and b.snapshot_no = note.snapshot_no and b.id = note.id) group by all)
+select in_table, in_field, snapshot_no, level::int as level, count(*) as n_records from (
+select 'agent_edges' as in_table, 'from_id' as in_field, snapshot_no, 0 as level from bad_from union all select 'agent_edges', 'to_id', snapshot_no, 0 from bad_to union all select 'agent_edges', 'from_id', snapshot_no, level from lv where level > 0
+union all select 'annotations', 'id', snapshot_no, 0 from bad_note union all select 'annotations', 'id', snapshot_no, level from nt) group by all
+"""
 _P4_ROWS = """
 with newest as (select repo, max(snapshot_no) as snapshot_no from snapshot_log group by repo),
 k as (select 'graph_nodes' as in_table, 'community' as in_field, community::varchar as key_text, repo || chr(1) || id as o, snapshot_no as snap from graph_nodes
@@ -197,4 +226,4 @@ g as (select *, min(id) over (partition by in_table, repo, c1, c2, c3, c4) as fi
 _P5 = _P5_ROWS + "select in_table, repo, first_id, id as copy_id from g where id <> first_id"
 _P5_COUNTS = _P5_ROWS + "select in_table, repo, first_id, count(*) as n_copies from g group by all"
 
-SQL = {"p1_found": _P1, "p1_changed_values": _P1_VALUES, "p2_found": _P2, "p2_report": _P2_REPORT, "p4_found": _P4, "p4_profile": _P4_PROFILE, "p5_found": _P5, "p5_counts": _P5_COUNTS}
+SQL = {"p1_found": _P1, "p1_changed_values": _P1_VALUES, "p2_found": _P2, "p2_report": _P2_REPORT, "p2_trails": _P2_TRAILS, "p4_found": _P4, "p4_profile": _P4_PROFILE, "p5_found": _P5, "p5_counts": _P5_COUNTS}
