@@ -6,7 +6,7 @@ from datetime import datetime
 from weftmark.operators import format_duplicates, heavy_keys, orphan_references, snapshot_diff
 from weftmark.operators.orphan_references import ForeignKey
 from weftmark.operators.snapshot_diff import Snapshotted
-from weftmark.plans import problems
+from weftmark.plans import problems, scratch, skew
 from pyspark.sql import functions as F
 
 NODE = "repo string, snapshot_no int, id string, label string, community int, loaded_at timestamp, fp string, row string"
@@ -49,13 +49,13 @@ def test_changed_values(spark):
     assert [(r.key_one, tuple(r.old_values), tuple(r.new_values)) for r in got] == [("a", ("x", 1), ("y", None))]
 
 
-def test_versioned_orphans(spark):
+def test_orphan_kinds(spark):
     nodes = spark.createDataFrame([("r", 1, "a"), ("r", 1, "a"), ("r", 3, "b"), ("r", 2, None), ("s", 2, "c")], "repo string, snapshot_no int, id string")
-    refs = spark.createDataFrame([("r", 2, "a"), ("r", 2, "a"), ("r", 1, "a"), ("r", 2, "b"), ("r", 2, "c"), ("r", 2, None), ("r", None, "a")], "repo string, snapshot_no int, ref_id string")
-    found = rows(orphan_references.versioned_orphans(refs, nodes).select("repo", "snapshot_no", "ref_id", "orphan_kind").where("snapshot_no is not null"))
-    assert found == [("r", 2, "a", "deleted"), ("r", 2, "b", "later"), ("r", 2, "c", "missing")]
-    assert orphan_references.versioned_orphans(refs, nodes.limit(0)).where("orphan_kind <> 'missing'").count() == 0
-    assert orphan_references.versioned_orphans(refs.limit(0), nodes).count() == 0
+    orphans = spark.createDataFrame([("r", 2, "a", 1), ("r", 2, "b", 2), ("r", 2, "c", 3), (None, 2, "a", 4)], "repo string, snapshot_no int, ref_id string, first int")
+    found = rows(orphan_references.orphan_kinds(orphans, nodes).select("repo", "snapshot_no", "ref_id", "orphan_kind"))
+    assert found == sorted([("r", 2, "a", "deleted"), ("r", 2, "b", "later"), ("r", 2, "c", "missing"), (None, 2, "a", "missing")], key=repr)
+    assert orphan_references.orphan_kinds(orphans, nodes.limit(0)).where("orphan_kind <> 'missing'").count() == 0
+    assert orphan_references.orphan_kinds(orphans.limit(0), nodes).count() == 0
 
 
 def test_p2_found_takes_the_cascades_direct_orphans(spark, tmp_path, monkeypatch):
@@ -84,6 +84,48 @@ def test_cascade_follows_chains_and_cycles(spark):
     assert {(r.in_table, r.record[0], r.level) for r in found.collect()} == {("part", "p1", 0), ("part", "p2", 1), ("part", "p3", 2), ("note", "n1", 3), ("note", "n3", 0)}
 
 
+def test_cascade_by_other_columns_than_the_record(spark):
+    """A child that refers to a parent by a column that is not the parent's record; keys that only pass a state on."""
+    tables = {
+        "p": spark.createDataFrame([(1, "c1", "gone"), (2, "c2", "here"), (3, None, "gone")], "rid int, code string, root string"),
+        "root": spark.createDataFrame([("here",)], "name string"),
+        "c": spark.createDataFrame([("x", "c1"), ("y", "c2"), ("z", "c9"), ("n", None)], "id string, code string"),
+    }
+    root, code = ForeignKey("p", ("root",), "root", ("name",), ("rid",)), ForeignKey("c", ("code",), "p", ("code",), ("id",))
+    found = orphan_references.orphan_cascade(tables, [root, code])
+    assert {(r.in_table, r.record[0], r.level) for r in found.collect()} == {("p", "1", 0), ("p", "3", 0), ("c", "x", 1), ("c", "z", 0)}
+    passing = ForeignKey("c", ("code",), "p", ("code",), ("id",), checked=False)
+    assert {(r.in_table, r.record[0], r.level) for r in orphan_references.orphan_cascade(tables, [root, passing]).collect()} == {("p", "1", 0), ("p", "3", 0), ("c", "x", 1)}
+
+
+def test_long_chain_and_hot_reference(spark):
+    chain = [(f"k{i}", f"k{i - 1}") for i in range(1, 9)]
+    hot = [(f"h{i}", "nowhere") for i in range(500)] + [(f"u{i}", f"no{i}") for i in range(300)]
+    tables = {"t": spark.createDataFrame(chain + hot, "id string, up string")}
+    found = orphan_references.orphan_cascade(tables, [ForeignKey("t", ("up",), "t", ("id",), ("id",))]).collect()
+    assert {r.record[0]: r.level for r in found} == {**{f"k{i}": i - 1 for i in range(1, 9)}, **dict.fromkeys([k for k, _ in hot], 0)}
+
+
+def test_joins_give_the_same_rows_by_every_way(spark, monkeypatch):
+    """What is broadcast if it is small gives the same rows where nothing counts as small."""
+    nodes = [("r", 1, f"n{i}", "x", i, at(1), None, None) for i in range(40)] + [("r", 2, f"n{i}", "y" if i % 3 else "x", i, at(2), None, None) for i in range(5, 50)]
+    log = [("r", 1, None), ("r", 2, None)]
+    hot = spark.createDataFrame([(f"h{i}", "nowhere") for i in range(300)] + [(f"u{i}", f"no{i}") for i in range(300)], "id string, up string")
+    key = ForeignKey("t", ("up",), "t", ("id",), ("id",))
+    small = diff(spark, nodes, log), rows(orphan_references.orphan_cascade({"t": hot}, [key]))
+    for module in (skew, snapshot_diff, scratch):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *a: False)
+    assert (diff(spark, nodes, log), rows(orphan_references.orphan_cascade({"t": hot}, [key]))) == small and len(small[0]) == 38
+
+
+def test_sieve_loses_nothing(spark):
+    data = spark.range(5000).selectExpr("concat('k', id) as k", "id")
+    wanted = data.where("id % 50 = 0 or k is null")
+    left = {r.k for r in skew.sieved(data, wanted.select("k"), ["k"], 1 << 12).collect()}
+    assert {f"k{i}" for i in range(0, 5000, 50)} <= left and len(left) < 400
+    assert skew.sieved(data, wanted.limit(0).select("k"), ["k"]).count() == 0
+
+
 def test_key_profile_against_brute_force(spark):
     draw = random.Random(5)
     data = [(draw.choice([None, "hot", "hot", "hot", "k1", "k2"]), draw.choice([None, "x", "y", "z", *map(str, range(40))]), draw.choice([None, 1, 2, 5])) for _ in range(4000)]
