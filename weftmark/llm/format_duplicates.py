@@ -1,7 +1,7 @@
 """Records that differ in nothing but formatting, collapsed and counted.
 
 Byte-identical rows are collapsed first, with counts; only the distinct survivors are brought into
-canonical form (see :mod:`weftmark.functions.canonical`); these are grouped again on the full
+canonical form (see :mod:`weftmark.llm.canonical`); these are grouped again on the full
 canonical fields, and the counts are summed. All groupings combine before they shuffle, so a group
 that holds a third of all rows reaches the reducer as one row per task.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import unformatted, unformatted_json
+from .canonical import unformatted, unformatted_json
 from ..plans.scratch import materialize
 from ..plans.skew import join_groups
 

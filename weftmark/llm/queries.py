@@ -1,12 +1,13 @@
-"""Queries of the problems on texts (p3, p6, p7, p8) over the project's tables, and their SQL."""
+"""Queries of the problems on texts (p3, p5, p6, p7, p8) over the project's tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.problems import newest_nodes
 from ..sources.tables import load
-from . import encode, handwritten, packing, reading_level
+from . import encode, format_duplicates, handwritten, packing, reading_level
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +27,24 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return kinds.join(nodes, ["repo", "source_file"], "left").groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"))
 
 
+LABELLED = ["label", "file_type", "source_file", "source_location"]
+EXTRACTED = ["label", "file_type", "source_file", "attrs"]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that repeats another of its repo in all but formatting."""
+    nodes = format_duplicates.copies(newest_nodes(spark, d, LABELLED), LABELLED)
+    extracted = format_duplicates.copies(load(spark, d, "dedup_composed_extraction"), EXTRACTED, ("attrs",))
+    return nodes.withColumn("in_table", F.lit("graph_nodes")).unionByName(extracted.withColumn("in_table", F.lit("dedup_composed_extraction"))).select("in_table", "repo", "first_id", "copy_id")
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each group of equals, with the number of its copies."""
+    nodes = format_duplicates.collapsed(newest_nodes(spark, d, LABELLED), LABELLED)
+    extracted = format_duplicates.collapsed(load(spark, d, "dedup_composed_extraction"), EXTRACTED, ("attrs",))
+    return nodes.withColumn("in_table", F.lit("graph_nodes")).unionByName(extracted.withColumn("in_table", F.lit("dedup_composed_extraction"))).select("in_table", "repo", "first_id", "n_copies")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode(load(spark, d, "documents"))
@@ -61,5 +80,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _bands(spark, d).select("doc_id", "reading_band")
 
 
-QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found}
+
+_PLAIN = r"regexp_replace(lower(upper(coalesce({}, ''))), '[\p{{P}}\p{{Z}}\s\x{{85}}\x{{1c}}-\x{{1f}}\x{{0b}}]+', '', 'g')"
+_P5_ROWS = f"""
+with newest as (select repo, max(snapshot_no) as snapshot_no from snapshot_log group by repo),
+n as (select repo, id, arg_max(struct_pack(label, file_type, source_file, source_location), loaded_at) as v from graph_nodes join newest using (repo, snapshot_no) where id is not null group by all),
+a as (select id, list_sort(list({_PLAIN.format('k')} || chr(31) || {_PLAIN.format("json_extract_string(attrs, '$.\"' || k || '\"')")})) as c from (select id, attrs, unnest(json_keys(attrs)) as k from dedup_composed_extraction) group by id),
+r as (select 'graph_nodes' as in_table, repo, id, {_PLAIN.format('v.label')} as c1, {_PLAIN.format('v.file_type')} as c2, {_PLAIN.format('v.source_file')} as c3, {_PLAIN.format('v.source_location')} as c4 from n
+union all select 'dedup_composed_extraction', repo, x.id, {_PLAIN.format('label')}, {_PLAIN.format('file_type')}, {_PLAIN.format('source_file')}, coalesce(a.c::varchar, '') from dedup_composed_extraction x left join a on a.id = x.id),
+g as (select *, min(id) over (partition by in_table, repo, c1, c2, c3, c4) as first_id from r where c1 <> '')
+"""
+_P5 = _P5_ROWS + "select in_table, repo, first_id, id as copy_id from g where id <> first_id"
+_P5_COUNTS = _P5_ROWS + "select in_table, repo, first_id, count(*) as n_copies from g group by all"
+
+SQL: dict[str, str] = {"p5_found": _P5, "p5_counts": _P5_COUNTS}
