@@ -1,11 +1,11 @@
-"""Queries of the general problems (p1, p2, p4, p5) over the project's tables, and their SQL."""
+"""Queries of the general problems (p1, p2, p4) over the project's tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import format_duplicates, heavy_keys, orphan_references, snapshot_diff
+from ..operators import heavy_keys, orphan_references, snapshot_diff
 from ..operators.orphan_references import ForeignKey
 from ..operators.snapshot_diff import Snapshotted
 from ..sources.tables import load
@@ -129,25 +129,7 @@ def newest_nodes(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
     return last.select("repo", "id", *[F.col(f"row.{c}").alias(c) for c in fields])
 
 
-LABELLED = ["label", "file_type", "source_file", "source_location"]
-EXTRACTED = ["label", "file_type", "source_file", "attrs"]
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every record that repeats another of its repo in all but formatting."""
-    nodes = format_duplicates.copies(newest_nodes(spark, d, LABELLED), LABELLED)
-    extracted = format_duplicates.copies(load(spark, d, "dedup_composed_extraction"), EXTRACTED, ("attrs",))
-    return nodes.withColumn("in_table", F.lit("graph_nodes")).unionByName(extracted.withColumn("in_table", F.lit("dedup_composed_extraction"))).select("in_table", "repo", "first_id", "copy_id")
-
-
-def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """One record of each group of equals, with the number of its copies."""
-    nodes = format_duplicates.collapsed(newest_nodes(spark, d, LABELLED), LABELLED)
-    extracted = format_duplicates.collapsed(load(spark, d, "dedup_composed_extraction"), EXTRACTED, ("attrs",))
-    return nodes.withColumn("in_table", F.lit("graph_nodes")).unionByName(extracted.withColumn("in_table", F.lit("dedup_composed_extraction"))).select("in_table", "repo", "first_id", "n_copies")
-
-
-QUERIES = {"p1_found": p1_found, "p1_changed_values": p1_changed_values, "p2_found": p2_found, "p2_report": p2_report, "p2_trails": p2_trails, "p4_found": p4_found, "p4_profile": p4_profile, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {"p1_found": p1_found, "p1_changed_values": p1_changed_values, "p2_found": p2_found, "p2_report": p2_report, "p2_trails": p2_trails, "p4_found": p4_found, "p4_profile": p4_profile}
 
 _P1 = """
 with log as (select repo, snapshot_no, lag(snapshot_no) over (partition by repo order by snapshot_no) as prev_no from (select distinct repo, snapshot_no from snapshot_log)),
@@ -214,16 +196,4 @@ select in_table, in_field, key_text from (select in_table, in_field, key_text, c
 where key_text is not null and in_field <> 'source' and n * 50 >= total
 """
 _P4_PROFILE = _P4_ROWS + "select in_table, in_field, key_text, count(*) as n_rows, count(distinct o) as n_distinct, min(snap)::int as first_snapshot, max(snap)::int as last_snapshot from k group by all"
-_PLAIN = r"regexp_replace(lower(upper(coalesce({}, ''))), '[\p{{P}}\p{{Z}}\s\x{{85}}\x{{1c}}-\x{{1f}}\x{{0b}}]+', '', 'g')"
-_P5_ROWS = f"""
-with newest as (select repo, max(snapshot_no) as snapshot_no from snapshot_log group by repo),
-n as (select repo, id, arg_max(struct_pack(label, file_type, source_file, source_location), loaded_at) as v from graph_nodes join newest using (repo, snapshot_no) where id is not null group by all),
-a as (select id, list_sort(list({_PLAIN.format('k')} || chr(31) || {_PLAIN.format("json_extract_string(attrs, '$.\"' || k || '\"')")})) as c from (select id, attrs, unnest(json_keys(attrs)) as k from dedup_composed_extraction) group by id),
-r as (select 'graph_nodes' as in_table, repo, id, {_PLAIN.format('v.label')} as c1, {_PLAIN.format('v.file_type')} as c2, {_PLAIN.format('v.source_file')} as c3, {_PLAIN.format('v.source_location')} as c4 from n
-union all select 'dedup_composed_extraction', repo, x.id, {_PLAIN.format('label')}, {_PLAIN.format('file_type')}, {_PLAIN.format('source_file')}, coalesce(a.c::varchar, '') from dedup_composed_extraction x left join a on a.id = x.id),
-g as (select *, min(id) over (partition by in_table, repo, c1, c2, c3, c4) as first_id from r where c1 <> '')
-"""
-_P5 = _P5_ROWS + "select in_table, repo, first_id, id as copy_id from g where id <> first_id"
-_P5_COUNTS = _P5_ROWS + "select in_table, repo, first_id, count(*) as n_copies from g group by all"
-
-SQL = {"p1_found": _P1, "p1_changed_values": _P1_VALUES, "p2_found": _P2, "p2_report": _P2_REPORT, "p2_trails": _P2_TRAILS, "p4_found": _P4, "p4_profile": _P4_PROFILE, "p5_found": _P5, "p5_counts": _P5_COUNTS}
+SQL = {"p1_found": _P1, "p1_changed_values": _P1_VALUES, "p2_found": _P2, "p2_report": _P2_REPORT, "p2_trails": _P2_TRAILS, "p4_found": _P4, "p4_profile": _P4_PROFILE}
