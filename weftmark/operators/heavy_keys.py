@@ -83,14 +83,16 @@ def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from pa.Table.from_pylist([carried], schema=schema).to_batches()
 
 
-def key_profile(rows: DataFrame) -> DataFrame:
+def key_profile(rows: DataFrame, part_rows: int = 250_000) -> DataFrame:
     """Per (f, key): n_rows, n_distinct secondary values, first_at and last_at (null where no row has a version).
 
-    ``rows`` come from :func:`keyed`, several tables united if wanted. The number of partial states
-    of one key is that of the partitions it fills, so the stitching window stays small.
+    ``rows`` come from :func:`keyed`, several tables united if wanted. They are cut into as many ranges
+    as hold ``part_rows`` each, so that a task stays as large however many rows there are. The number of
+    partial states of one key is that of the partitions it fills, so the stitching window stays small.
     """
     order = ["f", "has_key", "key", "has_o", "o"]
-    spread = rows.withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(*order, "row_no").sortWithinPartitions(*order)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
+    spread = rows.withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "row_no").sortWithinPartitions(*order)
     states = spread.select("f", "has_key", "key", "has_o", "o", "at", F.spark_partition_id().alias("part")).mapInArrow(_partial_states, _STATE)
     before = Window.partitionBy("f", "has_key", "key").orderBy("part")
     crosses = F.col("first_has") & F.lag("last_has").over(before) & (F.lag("last_o").over(before) == F.col("first_o"))
