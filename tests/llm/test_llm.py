@@ -92,6 +92,36 @@ def test_reading_bands_on_held_out_examples(spark):
     assert got.where("truth = reading_band").count() >= 0.95 * docs.count()
 
 
+def test_word_difficulty_against_brute_force(spark, monkeypatch):
+    """The same rounds over dictionaries of sentences; blocks of three documents."""
+    draw = random.Random(4)
+    text = lambda: " ".join(" ".join(draw.choice("abcdefghijklmnop") * 2 for _ in range(draw.randrange(3, 8))) + "." for _ in range(draw.randrange(1, 4)))
+    rows = [(None, text(), 1 + i % 4) for i in range(6)] + [(i, text(), None) for i in range(40)]
+    monkeypatch.setattr(reading_level, "BLOCK_DOCUMENTS", 3)
+    corpus = reading_level._Corpus(spark.createDataFrame(rows, "doc bigint, text string, band int"))
+    words, rounds = reading_level.word_difficulty(corpus, 0.001)
+    got = {r.word: (r.difficulty, r.weight) for r in words.read().collect()}
+    words.drop()
+    corpus.drop()
+    sentences = [(part.split(), band) for _, t, band in rows for part in t.rstrip(".").split(". ")]
+    sentences = [([w.strip(".") for w in ws], band) for ws, band in sentences]
+    known = {}
+    for _ in range(rounds):
+        sums = {}
+        for ws, band in sentences:
+            weights = [(known[w][1], known[w][0]) for w in ws if w in known]
+            if band is None and not weights:
+                continue
+            y = band or sum(k * x for k, x in weights) / sum(k for k, _ in weights)
+            share = reading_level.CLAMP if band else 1.0
+            for w in ws:
+                n, s, ss = sums.get(w, (0, 0, 0))
+                sums[w] = (n + share, s + share * y, ss + share * y * y)
+        known = {w: (s / n, 1 / (max(ss / n - (s / n) ** 2, 0) + reading_level.SPREAD + 1 / n)) for w, (n, s, ss) in sums.items()}
+    assert rounds > 2 and got.keys() == known.keys()
+    assert all(np.allclose(got[w], known[w]) for w in known)
+
+
 PY = "import a\n\ndef read_{0}(x):\n    # keep the {0} of every row\n    for item in x:\n        if item > {1}:\n            return item * {1}\n    return None\n\nclass {0}Store:\n    def __init__(self, path):\n        self.path = path\n\n    def size(self):\n        return len(self.path) + {1}\n"
 
 

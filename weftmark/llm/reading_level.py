@@ -2,11 +2,14 @@
 
 Graded examples are clamped at their band. A word's difficulty is the mean of the sentences that hold
 it; a sentence's difficulty is the mean of its words, each weighted by how little its sentences
-disagree. Rounds of this carry difficulty from the examples into words that only the corpus has. The
-graph is never built as pairs: each task holds its documents' sentences as arrays of word numbers
-and adds up per word; only these sums are shuffled. Words are numbered by a hash into a fixed number
-of buckets, so the table of difficulties that every task gets has a fixed size (WORDS entries),
-however large the vocabulary; rare words that share a bucket share a difficulty.
+disagree. Rounds of this carry difficulty from the examples into words that only the corpus has, until
+the words, weighted by their occurrences, move by less than ``tolerance`` on average.
+
+The graph is never built as pairs. Blocks of documents hold their sentences as positions in the block's
+own dictionary of distinct words. In each round the table of words (word, difficulty, weight), spread by
+word, is joined with the dictionaries, each block gets the values of its words, adds up the difficulties
+of its sentences per word, and only these sums are shuffled. Words are keyed by their text, so no two
+share a value, and nothing but the mean movement and the bands' thresholds comes to the driver.
 
 At the end each sentence gets the band between whose thresholds (midway between the mean scores of
 the examples' sentences, by band) its score lies, and the document the band with most words.
@@ -14,53 +17,55 @@ the examples' sentences, by band) its score lies, and the document the band with
 Prose is what remains without fenced code, tables, list and heading lines and paths: sentences of
 three words or more that end in a stop. Defined cases: a document without such a sentence is scored
 by all its words; without any known word it gets band 2; null, empty and blank texts yield no row;
-a tie between bands goes to the lower one; repeated documents and ids yield a row each; no examples
-or no documents yield no rows; extra columns are not read.
+a tie between bands goes to the lower one; repeated documents and ids yield a row each; no examples:
+every document gets band 2; no documents: no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import BucketedTable, materialize
 
-#: Buckets for words: the size of the broadcast table of difficulties.
-WORDS = 1 << 20
 BANDS = np.arange(1, 5)
 #: How many corpus sentences an example's sentence counts as, in the mean of a word.
 CLAMP = 200.0
 #: Variance that is added to every word's, so that few agreeing sentences do not count without bound.
 SPREAD = 0.05
-
+#: A block ends after so many documents or bytes of text; one longer text is a block of its own.
+BLOCK_DOCUMENTS, BLOCK_BYTES = 8192, 8 << 20
 
 def _replace(texts: pa.Array, pattern: str, by: str) -> pa.Array:
     return pc.replace_substring_regex(texts, pattern, by)
 
 
-def prose_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences of prose as word numbers: (words of all sentences, words per sentence, sentences per text)."""
+Sentences = tuple[pa.Array, np.ndarray, np.ndarray]
+
+
+def prose_words(texts: pa.Array) -> Sentences:
+    """Sentences of prose: (words of all sentences, words per sentence, sentences per text)."""
     t = _replace(texts, r"(?s)```.*?(?:```|\z)", "\n\n")
     t = _replace(t, r"\n[ \t]*(?:[|>*-]|\d+[.)])+[ \t]*", "\n\n")
     t = _replace(t, r"(?m)^[ \t]*#+[ \t]*", "")
     t = _replace(t, r"[.!?…][\"'»”)\]]*(?:\s+|\z)", "\x01")
     t = _replace(t, r"[^\x01]*\n[ \t\r]*\n", "")
-    return _numbered(t, 3)
+    return _pieces(t, 3)
 
 
-def all_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_words(texts: pa.Array) -> Sentences:
     """Every text as one sentence, for texts without prose."""
-    return _numbered(pc.binary_join_element_wise(_replace(texts, "\x01", " "), "", "\x01"), 1)
+    return _pieces(pc.binary_join_element_wise(_replace(texts, "\x01", " "), "", "\x01"), 1)
 
 
-def _numbered(marked: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of the pieces that end in \\x01 and have at least ``least`` words; names of files and figures are no words."""
+def _pieces(marked: pa.Array, least: int) -> Sentences:
+    """Words of the pieces that end in \\x01 and have at least ``least`` words; names of files and figures are no words."""
     t = _replace(marked, r"[^\s\x01]*[_/\d][^\s\x01]*", " ")
     t = pc.utf8_lower(_replace(t, r"[^\p{L}\x01]+", " "))
     pieces = pc.split_pattern(t, "\x01")
@@ -73,44 +78,46 @@ def _numbered(marked: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.
     piece = np.repeat(np.arange(len(size)), size)
     size = np.bincount(piece[real], minlength=len(size))
     kept = closed & (size >= least)
-    coded = flat.filter(pa.array(real & kept[piece])).dictionary_encode()
-    numbers = np.fromiter((zlib.crc32(w.encode()) % WORDS for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
     text = np.repeat(np.arange(len(marked)), np.diff(np.concatenate([[0], ends])))
-    return numbers[coded.indices.to_numpy()] if len(numbers) else np.zeros(0, np.int32), size[kept].astype(np.int32), np.bincount(text[kept], minlength=len(marked)).astype(np.int32)
+    return flat.filter(pa.array(real & kept[piece])), size[kept], np.bincount(text[kept], minlength=len(marked))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _starts(texts: pa.Array) -> list[int]:
+    """Where the blocks of a batch begin, and its end."""
+    size = pc.binary_length(texts).to_numpy()
+    starts, held = [0], 0
+    for i, n in enumerate(size.tolist()):
+        if i > starts[-1] and (held + n > BLOCK_BYTES or i - starts[-1] >= BLOCK_DOCUMENTS):
+            starts.append(i)
+            held = 0
+        held += n
+    return [*starts, len(size)]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its documents, their bands and numbers of sentences, the sentences' sizes, and their words by place in the dictionary."""
+    part, number = TaskContext.get().partitionId(), 0
+    listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            ids, texts, band = batch.slice(start, 1024).columns
+        for start, end in zip((cut := _starts(batch.column("text")))[:-1], cut[1:], strict=True):
+            ids, texts, band = batch.slice(start, end - start).columns
             words, sizes, sentences = prose_words(texts)
             if not sentences.all():
-                bare = np.flatnonzero(sentences == 0)
-                parts = [all_words(texts.take(pa.array(bare)))]
-                has = np.flatnonzero(sentences)
-                order = np.concatenate([has, bare])
-                words, sizes, sentences = np.concatenate([words, parts[0][0]]), np.concatenate([sizes, parts[0][1]]), np.concatenate([sentences[has], parts[0][2]])
-                ids, band = ids.take(pa.array(order)), band.take(pa.array(order))
-            per_text = np.add.reduceat(np.append(sizes, 0), np.cumsum(sentences) - sentences) * (sentences > 0) if len(sentences) else sentences
-            yield pa.RecordBatch.from_arrays([ids, band, _lists(words, per_text), _lists(sizes, sentences)], names=["doc", "band", "words", "sizes"])
-
-
-def sentences(texts: DataFrame) -> DataFrame:
-    """The written table (doc, band, words, sizes) of texts given as (doc, text, band)."""
-    kind = texts.schema["doc"].dataType.simpleString()
-    return materialize(texts.select("doc", "text", "band").mapInArrow(_extract, f"doc {kind}, band int, words array<int>, sizes array<int>"), "sentences")
-
-
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, sizes = batch.column("words"), batch.column("sizes")
-    return words.flatten().to_numpy(), sizes.flatten().to_numpy(), np.diff(sizes.offsets.to_numpy())
-
-
-def scores(words: np.ndarray, sizes: np.ndarray, difficulty: np.ndarray, weight: np.ndarray) -> np.ndarray:
+                bare, has = np.flatnonzero(sentences == 0), np.flatnonzero(sentences)
+                more, more_sizes, more_sentences = all_words(texts.take(pa.array(bare)))
+                order = pa.array(np.concatenate([has, bare]))
+                words, sizes, sentences = pa.concat_arrays([words, more]), np.concatenate([sizes, more_sizes]), np.concatenate([sentences[has], more_sentences])
+                ids, band = ids.take(order), band.take(order)
+            coded = words.dictionary_encode()
+            ints = [pa.array(x.astype(np.int32)) for x in (sentences, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + number]), pa.array([band.null_count < len(band)]), *map(listed, [ids, band, *ints, coded.indices.cast(pa.int32()), coded.dictionary])],
+                names=["block", "graded", "docs", "bands", "sentences", "sizes", "words", "vocabulary"],
+            )
+            number += 1
+
+
+def _scores(words: np.ndarray, sizes: np.ndarray, difficulty: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted mean difficulty of each sentence's words; nan where none is known."""
     k = weight[words]
     sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -119,68 +126,102 @@ def scores(words: np.ndarray, sizes: np.ndarray, difficulty: np.ndarray, weight:
         return np.where(total > 0, np.bincount(sentence, k * difficulty[words], len(sizes)) / total, np.nan)
 
 
-def _add_up(table):
-    """Per word: number, sum and sum of squares of the difficulties of its sentences, clamped ones apart."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        difficulty, weight = table.value
-        sums = {}
-        for batch in batches:
-            words, sizes, per_text = _flat(batch)
-            band = np.repeat(batch.column("band").fill_null(0).to_numpy(), per_text)
-            y = np.where(band > 0, band, scores(words, sizes, difficulty, weight))
-            known = np.repeat(~np.isnan(y), sizes)
-            for clamped in (False, True):
-                of = known & (np.repeat(band > 0, sizes) == clamped)
-                if of.any():
-                    at, ys = words[of], np.repeat(y, sizes)[of]
-                    held = sums.setdefault(clamped, np.zeros((3, WORDS)))
-                    held += [np.bincount(at, minlength=WORDS), np.bincount(at, ys, WORDS), np.bincount(at, ys * ys, WORDS)]
-        for clamped, held in sums.items():
-            at = np.flatnonzero(held[0])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), clamped)), *(pa.array(x[at]) for x in held)], names=["word", "clamped", "n", "s", "ss"])
-    return run
-
-
-def word_difficulty(table: DataFrame, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Difficulty and weight of every word bucket after ``rounds`` of propagation; the first sees the examples alone."""
-    spark = table.sparkSession
-    difficulty, weight = np.zeros(WORDS, np.float32), np.zeros(WORDS, np.float32)
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((difficulty, weight))
-        seen = table.where("band is not null") if turn == 0 else table
-        sums = seen.mapInArrow(_add_up(shared), "word int, clamped boolean, n double, s double, ss double")
-        share = F.when(F.col("clamped"), CLAMP).otherwise(1.0)
-        total = sums.groupBy("word").agg(*[F.sum(F.col(c) * share).alias(c) for c in ("n", "s", "ss")]).toArrow()  # at most WORDS rows
-        at, n, s, ss = (total.column(c).to_numpy() for c in ("word", "n", "s", "ss"))
-        mean = s / n
-        difficulty, weight = np.zeros(WORDS, np.float32), np.zeros(WORDS, np.float32)
-        difficulty[at], weight[at] = mean, 1 / (np.maximum(ss / n - mean * mean, 0) + SPREAD + 1 / n)
-        shared.unpersist()
-    return difficulty, weight
-
-
-def _example_scores(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, sizes, per_text = _flat(batch)
-            y = scores(words, sizes, *table.value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("band").to_numpy(), per_text)), pa.array(y)], names=["band", "y"])
-    return run
-
-
-def thresholds(table: DataFrame, shared) -> np.ndarray:
+def _scored_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each block's row with (y per sentence, band per sentence (0: none), difficulty per dictionary entry)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].values for name in ("docs", "bands", "sentences", "sizes", "words", "vocabulary", "entries") if name in batch.schema.names and batch.column(name)[i].is_valid}
+            sizes, per_doc, words = (row[c].to_numpy() for c in ("sizes", "sentences", "words"))
+            difficulty, weight = np.zeros(len(row["vocabulary"])), np.zeros(len(row["vocabulary"]))
+            if "entries" in row:
+                at, d, w = (row["entries"].field(c).to_numpy() for c in ("pos", "difficulty", "weight"))
+                difficulty[at], weight[at] = d, w
+            y = _scores(words, sizes, difficulty, weight)
+            yield row, y, np.repeat(row["bands"].fill_null(0).to_numpy(), per_doc), np.where(weight > 0, difficulty, np.nan)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per word of a block: number, sum and sum of squares of the difficulties of the sentences that hold it, and its own so far."""
+    for row, y, band, was in _scored_blocks(batches):
+        y = np.where(band > 0, band, y)
+        of = np.repeat(~np.isnan(y), row["sizes"].to_numpy())
+        share = np.repeat(np.where(band > 0, CLAMP, 1.0), row["sizes"].to_numpy())[of]
+        at, ys = row["words"].to_numpy()[of], np.repeat(y, row["sizes"].to_numpy())[of]
+        n, s, ss = (np.bincount(at, v, len(row["vocabulary"])) for v in (share, share * ys, share * ys * ys))
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([row["vocabulary"].take(pa.array(held)), *(pa.array(x[held].astype(float)) for x in (n, s, ss)), pa.array(was[held], from_pandas=True)], names=["word", "n", "s", "ss", "was"])
+
+
+class _Corpus:
+    """The blocks, spread by block, and their dictionaries, spread by word."""
+
+    def __init__(self, texts: DataFrame):
+        spark = texts.sparkSession
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.kind = texts.schema["doc"].dataType.simpleString()
+        schema = f"block bigint, graded boolean, docs array<{self.kind}>, bands array<int>, sentences array<int>, sizes array<int>, words array<int>, vocabulary array<string>"
+        made = materialize(texts.select("doc", "text", "band").mapInArrow(_blocks, schema), "blocks")
+        self.blocks = BucketedTable.write(made.repartition(self.buckets, "block"), "reading_blocks", ["block"], self.buckets)
+        entries = made.select("block", F.posexplode("vocabulary").alias("pos", "word"))
+        self.entries = BucketedTable.write(entries.repartition(self.buckets, "word"), "reading_words", ["word"], self.buckets)
+
+    def with_values(self, words: DataFrame) -> DataFrame:
+        """The blocks with the values of their words; those without a known word too."""
+        value = F.struct("pos", "difficulty", "weight")
+        gathered = self.entries.read().join(words.select("word", "difficulty", "weight"), "word").groupBy("block").agg(F.collect_list(value).alias("entries"))
+        return self.blocks.read().join(gathered, "block", "left")
+
+    def summed(self, blocks: DataFrame) -> BucketedTable:
+        """The next table of words, from what the blocks' sentences say."""
+        sums = blocks.drop("graded", "docs", "block").mapInArrow(_add_up, "word string, n double, s double, ss double, was double")
+        total = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.max("was").alias("was")).withColumn("difficulty", F.col("s") / F.col("n"))
+        spread = F.greatest(F.col("ss") / F.col("n") - F.col("difficulty") * F.col("difficulty"), F.lit(0.0))
+        # a word that no sentence had told anything about before counts as moved by a whole band
+        moved = F.col("n") * F.coalesce(F.abs(F.col("difficulty") - F.col("was")), F.lit(1.0))
+        return BucketedTable.write(total.select("word", "difficulty", (1 / (spread + SPREAD + 1 / F.col("n"))).alias("weight"), "n", moved.alias("moved")), "word_difficulty", ["word"], self.buckets)
+
+    def drop(self) -> None:
+        self.blocks.drop()
+        self.entries.drop()
+
+
+def word_difficulty(corpus: _Corpus, tolerance: float = 0.001) -> tuple[BucketedTable, int]:
+    """(word, difficulty, weight) at rest, and the rounds it took; the first sees the examples alone.
+
+    At rest means that the words' difficulties, weighted by occurrences, moved by less than ``tolerance``
+    of a band on average. The means contract, so the rounds end.
+    """
+    words, rounds = corpus.summed(corpus.blocks.read().where("graded")), 1
+    while True:
+        following = corpus.summed(corpus.with_values(words.read()))
+        words.drop()
+        words, rounds = following, rounds + 1
+        moved = words.read().agg(F.sum("moved") / F.sum("n")).first()[0] or 0.0
+        if moved < tolerance:
+            return words, rounds
+
+
+def _sentence_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, y, _, _ in _scored_blocks(batches):
+        offsets = pa.array(np.concatenate([[0], np.cumsum(row["sentences"].to_numpy())]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(y, from_pandas=True), row["sizes"])]
+        yield pa.RecordBatch.from_arrays([row["docs"], row["bands"], *lists], names=["doc", "band", "y", "sizes"])
+
+
+def thresholds(scored: DataFrame) -> np.ndarray:
     """Midpoints between the mean scores of the examples' sentences, by band; bands without examples lie between their neighbours."""
-    rows = table.where("band is not null").mapInArrow(_example_scores(shared), "band int, y double").where("not isnan(y)").groupBy("band").agg(F.avg("y")).collect()
+    rows = scored.where("band is not null").select("band", F.explode("y").alias("y")).where("y is not null").groupBy("band").agg(F.avg("y")).collect()  # at most one row a band
     means = dict(rows) or {int(b): float(b) for b in BANDS}
     line = np.maximum.accumulate(np.interp(BANDS, sorted(means), [means[b] for b in sorted(means)]))
     return (line[1:] + line[:-1]) / 2
 
 
-def _assign(table, limits: np.ndarray):
+def _assign(limits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, sizes, per_text = _flat(batch)
-            y = scores(words, sizes, *table.value)
+            lists = batch.column("y")
+            per_text = np.diff(lists.offsets.to_numpy())
+            y, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(float), batch.column("sizes").flatten().to_numpy()
             band = np.searchsorted(limits, np.nan_to_num(y, nan=-1.0), "right")
             known = ~np.isnan(y)
             text = np.repeat(np.arange(batch.num_rows), per_text)
@@ -191,13 +232,17 @@ def _assign(table, limits: np.ndarray):
     return run
 
 
-def reading_bands(docs: DataFrame, examples: DataFrame, id_column: str = "doc_id", rounds: int = 3) -> DataFrame:
+def reading_bands(docs: DataFrame, examples: DataFrame, id_column: str = "doc_id", tolerance: float = 0.001) -> DataFrame:
     """(id_column, reading_band, difficulty) of every document with text; examples have (text, reading_band)."""
     kind = docs.select(id_column).schema[0].dataType.simpleString()
     given = examples.where("text is not null and reading_band is not null").select(F.lit(None).cast(kind).alias("doc"), "text", F.col("reading_band").cast("int").alias("band"))
     blank = F.regexp_replace("text", r"[\p{Z}\s\u0085\u001c-\u001f]+", "") == ""
     own = docs.where(F.col("text").isNotNull() & ~blank).select(F.col(id_column).alias("doc"), "text", F.lit(None).cast("int").alias("band"))
-    table = sentences(own.unionByName(given))
-    shared = docs.sparkSession.sparkContext.broadcast(word_difficulty(table, rounds))
-    placed = table.where("band is null").mapInArrow(_assign(shared, thresholds(table, shared)), f"doc {kind}, reading_band int, difficulty double")
-    return placed.withColumnRenamed("doc", id_column)
+    corpus = _Corpus(own.unionByName(given))
+    try:
+        words, _ = word_difficulty(corpus, tolerance)
+        scored = materialize(corpus.with_values(words.read()).drop("graded", "block").mapInArrow(_sentence_scores, f"doc {kind}, band int, y array<double>, sizes array<int>"), "scored")
+        words.drop()
+    finally:
+        corpus.drop()
+    return scored.where("band is null").drop("band").mapInArrow(_assign(thresholds(scored)), f"doc {kind}, reading_band int, difficulty double").withColumnRenamed("doc", id_column)
