@@ -92,13 +92,12 @@ def test_reading_bands_on_held_out_examples(spark):
     assert got.where("truth = reading_band").count() >= 0.95 * docs.count()
 
 
-def test_word_difficulty_against_brute_force(spark, monkeypatch):
-    """The same rounds over dictionaries of sentences; blocks of three documents."""
+def test_word_difficulty_against_brute_force(spark):
+    """The same rounds over dictionaries of sentences; five blocks."""
     draw = random.Random(4)
     text = lambda: " ".join(" ".join(draw.choice("abcdefghijklmnop") * 2 for _ in range(draw.randrange(3, 8))) + "." for _ in range(draw.randrange(1, 4)))
     rows = [(None, text(), 1 + i % 4) for i in range(6)] + [(i, text(), None) for i in range(40)]
-    monkeypatch.setattr(reading_level, "BLOCK_DOCUMENTS", 3)
-    corpus = reading_level._Corpus(spark.createDataFrame(rows, "doc bigint, text string, band int"))
+    corpus = reading_level._Corpus(spark.createDataFrame(rows, "doc bigint, text string, band int").repartition(5))
     words, rounds = reading_level.word_difficulty(corpus, 0.001)
     got = {r.word: (r.difficulty, r.weight) for r in words.read().collect()}
     words.drop()
