@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Secrets by name and pattern, in the order they are removed; later patterns see the cleaned text.
 SECRETS = {
-    "access_key": r"AKIA[0-9A-Z]{16}",
-    "hosted_token": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "service_key": r"sk-[A-Za-z0-9_-]{20,}",
-    "bearer": r"Bearer [A-Za-z0-9._~+/=-]{16,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned_secret": r"(?i)(?:password|secret|token|api_key)[ ]*[:=][ ]*[\"']?[A-Za-z0-9_+/=-]{12,}",
+    "aws_access_key": r"(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA|ANVA|AIPA)[0-9A-Z]{16}",
+    "github_pat": r"ghp_[A-Za-z0-9]{36}",
+    "openai_api_key": r"\b(?:sk-proj-[A-Za-z0-9_-]{64,}|sk-[A-Za-z0-9]{48,})\b",
+    "slack_token": r"xox[baprs]-[A-Za-z0-9-]+",
+    "bearer_token": r"Bearer\s+[A-Za-z0-9._-]{20,}",
+    "pem_private_key": r"(?s)-----BEGIN[ A-Z]+PRIVATE KEY-----.*?-----END[ A-Z]+PRIVATE KEY-----",
+    "email_credential": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+:[A-Za-z0-9@#$%^&*()_+=!\-]{8,}",
 }
-#: Phrases that try to steer a reader of the text.
-GADGETS = [r"(?i)ignore (?:all |any )?(?:previous|prior|above) instructions", r"(?i)disregard (?:all |any )?(?:previous|prior|above)", r"(?i)you are now [a-z]+", r"(?im)^[ ]*system:"]
-#: Signs of a paper.
-PAPER_SIGNS = [r"(?i)\babstract\b", r"(?i)\barxiv\b", r"(?i)\bdoi\b", r"\[[0-9]+\]", r"(?i)\bet al\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\btheorem\b", r"(?i)\blemma\b", r"(?i)\bwe (?:propose|contend|present)\b", r"(?i)\bfigure [0-9]+", r"(?i)\breferences\b", r"\b(?:19|20)[0-9]{2}\."]
+#: Lines and phrases that try to steer a reader of the text (a fence, a system tag, an order, a role).
+GADGETS = [
+    r"(?md)^-{3,}\s*$",
+    r"(?i)<\s*/?\s*system\s*>",
+    r"(?i)\bignore\s+(?:all\s+)?(?:prior\s+)?instructions\b",
+    r"(?imd)^\s*(?:system|assistant|user)\s*:\s*$",
+]
+#: Signs of a paper; three of them make one. They are sought in the whole text.
+PAPER_SIGNS = [
+    r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{",
+    r"\[\d+\]", r"\[\n\d+\n\]", r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b",
+]
 STOP_WORDS = ["the", "and", "for", "that", "with", "this", "from", "are", "was", "how", "what", "does"]
 
 
@@ -73,10 +84,17 @@ def html_text(html: Column, most: int = 8000) -> Column:
     return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, most)
 
 
+#: Hosts of known kinds of page, and suffixes of a path that show its kind; the first that fits counts.
+URL_HOSTS = {"tweet": ["twitter.com", "x.com"], "arxiv": ["arxiv.org"], "github": ["github.com"], "youtube": ["youtube.com", "youtu.be"]}
+URL_SUFFIXES = {"pdf": ["pdf"], "image": ["png", "jpg", "jpeg", "gif", "webp", "svg"]}
+
+
 def url_kind(url: Column) -> Column:
-    low, path = F.lower(url), F.lower(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1))
-    kind = F.when(low.contains("twitter.com") | low.contains("//x.com"), "tweet").when(low.contains("arxiv.org"), "arxiv").when(low.contains("github.com"), "github").when(low.contains("youtube.com") | low.contains("youtu.be"), "youtube")
-    return kind.when(path.endswith(".pdf"), "pdf").when(path.rlike(r"\.(png|jpg|jpeg|gif|webp|svg)$"), "image").otherwise("webpage")
+    """Kind of page by host (subdomains too), else by the path's suffix, else webpage."""
+    parts = F.lower(url)
+    host, suffix = F.regexp_extract(parts, r"^[a-z]+://([^/?#:]*)", 1), F.regexp_extract(parts, r"^[a-z]+://[^?#]*\.([a-z0-9]+)(?:[?#]|$)", 1)
+    by_host = [F.when(reduce(Column.__or__, [(host == h) | host.endswith(f".{h}") for h in hosts]), kind) for kind, hosts in URL_HOSTS.items()]
+    return F.coalesce(*by_host, *[F.when(suffix.isin(known), kind) for kind, known in URL_SUFFIXES.items()], F.lit("webpage"))
 
 
 def score_band(score: Column) -> Column:
@@ -112,3 +130,33 @@ def tech_tag(path: Column) -> Column:
     """The technology that a path's suffix shows, null for others."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     return F.coalesce(*[F.when(suffix == s, F.lit(tag)) for s, tag in TECH_TAGS.items()])
+
+
+def sentences(text: Column) -> Column:
+    """The text's sentences, trimmed; blank ones are left out."""
+    parts = F.split(text, r"(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def word_tokens(text: Column) -> Column:
+    """ASCII words in lower case, repeats kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+
+
+def capped(text: Column, most_tokens: int = 500) -> Column:
+    """The text's first whole sentences within a number of tokens, four characters each; a first sentence beyond it is cut between words.
+
+    What was cut ends in an ellipsis. A text that fits stays as it is.
+    """
+    most = most_tokens * 4
+    parts = sentences(text)
+    ends = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(True).alias("open")), lambda acc, s: F.struct(
+        (acc["n"] + F.when(acc["open"] & (acc["total"] + F.length(s) + 1 <= most), 1).otherwise(0)).alias("n"),
+        (acc["total"] + F.when(acc["open"] & (acc["total"] + F.length(s) + 1 <= most), F.length(s) + 1).otherwise(0)).alias("total"),
+        (acc["open"] & (acc["total"] + F.length(s) + 1 <= most)).alias("open"),
+    ))
+    n = ends["n"]
+    head = F.substring(F.coalesce(F.get(parts, F.lit(0)), text), 1, most)
+    first = F.concat(F.regexp_replace(F.regexp_replace(head, r"(?s) [^ ]*$", ""), r"[.!?,; ]+$", ""), F.lit("…"))
+    whole = F.array_join(F.slice(parts, F.lit(1), F.greatest(n, F.lit(1))), " ")
+    return F.when(F.length(text) <= most, text).when(n == 0, first).when(n < F.size(parts), F.concat(F.regexp_replace(whole, r"[.!?]+$", ""), F.lit("…"))).otherwise(whole)

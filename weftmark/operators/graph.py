@@ -79,9 +79,9 @@ def described(graph: Graph) -> DataFrame:
 
 
 def hubs(graph: Graph, top: int = 10) -> DataFrame:
-    """The ``top`` nodes of each repo by degree over links that still hold, without file and concept nodes."""
+    """The ``top`` nodes of each repo by degree over links that still hold, without file and concept nodes; nodes without links come last."""
     current = Graph(graph.nodes, graph.links.where("valid_until is null"))
-    ranked = described(current).where("not is_file and not is_concept and degree > 0").withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("degree"), "id")))
+    ranked = described(current).where("not is_file and not is_concept").withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("degree"), "id")))
     return ranked.where(F.col("rank") <= top).select("repo", "rank", "id", "label", "degree")
 
 

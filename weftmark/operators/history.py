@@ -11,10 +11,10 @@ from .graph import whole_links
 HALF_LIFE, ALIKE_HALF_LIFE, FLOOR = 30.0, 14.0, 0.1
 
 
-def standing_nodes(nodes: DataFrame, fields: list[str]) -> DataFrame:
-    """The standing row of each (repo, snapshot_no, id): the latest loaded, among equals the greatest."""
+def standing_nodes(nodes: DataFrame, fields: list[str], also: list[str] | None = None) -> DataFrame:
+    """The standing row of each (repo, snapshot_no, id): the latest loaded, among equals the greatest. ``also`` may name loaded_at."""
     rows = nodes.where("id is not null").groupBy("repo", "snapshot_no", "id").agg(F.max(F.struct("loaded_at", *fields)).alias("row"))
-    return rows.select("repo", "snapshot_no", "id", *[F.col(f"row.{c}").alias(c) for c in fields])
+    return rows.select("repo", "snapshot_no", "id", *[F.col(f"row.{c}").alias(c) for c in [*fields, *(also or [])]])
 
 
 def entity_trace(nodes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from .graph import Graph, hubs, incident, kept_links, pairs
 from .traversal import levels
 
 #: Questions asked of every repo unless others are given.
-QUESTIONS = ["how does the schema merge work", "which index holds the notes", "what connects the cache to the parser", "how are errors handled", "what are the core abstractions"]
+QUESTIONS = ["which module loads the snapshot cache", "where is the schema index merged", "which notes mention the ledger export", "how does the manifest reach the store", "what calls the token parser"]
 
 
 def seeds(nodes: DataFrame, questions: list[str], top: int = 3) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, extract_code, graph, history, traversal
+from ..operators import analysis, communities, extract_code, graph, history, traversal
 from ..operators.graph import Graph
 from ..sources import files
 from ..sources.tables import load
 from ..streaming import live
 from .problems import newest_nodes
+from .scratch import broadcast_if_small
 
 FIELDS = ["label", "file_type", "source_file", "source_location", "community"]
 #: The one moment that counts as now in every query over time.
@@ -151,9 +152,15 @@ def node_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_status(spark: SparkSession, d: str) -> DataFrame:
-    """Files against a manifest taken at the start of 2025, counted by status."""
-    now = load(spark, d, "source_files")
-    manifest = now.where("modified_at < '2025-01-01'").select("repo", "source_file", (F.col("modified_at") - F.expr("interval 1 day")).alias("modified_at"))
+    """Files of each repo's newest snapshot against those that its snapshot before pointed to, counted by status.
+
+    The manifest is that earlier snapshot: a file's entry is from when its nodes were last loaded then.
+    """
+    last = communities.last_two(load(spark, d, "snapshot_log"))
+    held = history.standing_nodes(load(spark, d, "graph_nodes"), ["source_file"], ["loaded_at"]).where("source_file <> ''").join(broadcast_if_small(last), ["repo", "snapshot_no"])
+    changed = load(spark, d, "source_files").groupBy("repo", "source_file").agg(F.max("modified_at").alias("modified_at"))
+    now = held.where("back = 1").select("repo", "source_file").distinct().join(changed, ["repo", "source_file"])
+    manifest = held.where("back = 2").select("repo", "source_file", F.col("loaded_at").alias("modified_at"))
     return files.changed_since(now, manifest, ["repo", "source_file"]).groupBy("repo", "status").agg(F.count(F.lit(1)).alias("n_files"))
 
 
@@ -237,6 +244,9 @@ QUERIES = {
     "event_windows": lambda s, d: live.windowed_counts(load(s, d, "events")), "user_sessions": lambda s, d: live.user_sessions(load(s, d, "events")),
 }
 
+_KNOWN = """'binds_method', 'calls', 'case_of', 'cites', 'conceptually_related_to', 'contains', 'contradicts', 'defines', 'depends_on', 'derived_shortcut', 'documents', 'evolved_into', 'implemented_by', 'implements',
+'imports', 'imports_from', 'includes', 'inherits', 'instantiates', 'method', 'rationale_for', 'realizes', 'references', 'related', 'related_to', 'semantically_similar_to', 'shares_data_with', 'supersedes', 'supports',
+'tests', 'uses', 'uses_component'"""
 _BASE = """
 with recursive newest as (select repo, max(snapshot_no) as snapshot_no from snapshot_log group by repo),
 n as (select repo, id, v.label as label, v.file_type as file_type, v.source_file as source_file, v.source_location as source_location, v.community as community from (
@@ -251,7 +261,7 @@ k as (select n.*, coalesce(deg.degree, 0) as degree, coalesce(cdeg.degree, 0) as
 coalesce(label <> '' and (label = regexp_extract(coalesce(source_file, ''), '[^/]+$') or (label like '.%' and label like '%()') or (label like '%()' and coalesce(deg.degree, 0) <= 1)), false) as is_file,
 coalesce(label <> '' and (label = regexp_extract(coalesce(source_file, ''), '[^/]+$') or (label like '.%' and label like '%()') or (label like '%()' and coalesce(cdeg.degree, 0) <= 1)), false) as is_file_now,
 not coalesce(contains(regexp_extract(coalesce(source_file, ''), '[^/]*$'), '.'), false) as is_concept from n left join deg using (repo, id) left join cdeg using (repo, id)),
-hub as (select * from (select repo, row_number() over (partition by repo order by current_degree desc, id) as rank, id, label, current_degree as degree from k where not is_file_now and not is_concept and current_degree > 0)),
+hub as (select * from (select repo, row_number() over (partition by repo order by current_degree desc, id) as rank, id, label, current_degree as degree from k where not is_file_now and not is_concept)),
 hub1 as (select repo, id from hub where rank = 1),
 m as (select repo, source, target, relation, count(*) as n_rows, max(case confidence when 'EXTRACTED' then 3 when 'INFERRED' then 2 when 'AMBIGUOUS' then 1 else 0 end) as tier, max(confidence_score) as confidence_score,
 sum(coalesce(weight, 1)::decimal(18,6))::double as weight, min(valid_from) as valid_from, case when bool_or(valid_until is null) then null else max(valid_until) end as valid_until, max(decay_weight) as decay_weight,
@@ -269,7 +279,17 @@ def _levels(steps: str, depth: int) -> str:
     return _BASE + f", {steps}, lv as (select repo, id, 0 as depth from hub1 union select step.repo, other, depth + 1 from lv join step on step.repo = lv.repo and step.id = lv.id where depth < {depth}) select repo, id, min(depth)::int as depth from lv group by all"
 
 
-_SECRET = [(n, p.replace("'", "''")) for n, p in T.SECRETS.items()]
+#: The patterns as the comparison states them, for its own dialect.
+_SECRET = [
+    ("aws_access_key", r"(AKIA|ASIA|AGPA|AIDA|AROA|ANPA|ANVA|AIPA)[0-9A-Z]{16}"), ("github_pat", r"ghp_[A-Za-z0-9]{36}"), ("openai_api_key", r"\b(sk-proj-[A-Za-z0-9_-]{64,}|sk-[A-Za-z0-9]{48,})\b"),
+    ("slack_token", r"xox[baprs]-[A-Za-z0-9-]+"), ("bearer_token", r"Bearer\s+[A-Za-z0-9._-]{20,}"), ("pem_private_key", r"(?s)-----BEGIN[ A-Z]+PRIVATE KEY-----.*?-----END[ A-Z]+PRIVATE KEY-----"),
+    ("email_credential", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+:[A-Za-z0-9@#$%^&*()_+=!\-]{8,}"),
+]
+_STEERING = [r"(?m)^-{3,}\s*$", r"(?i)<\s*/?\s*system\s*>", r"(?i)\bignore\s+(all\s+)?(prior\s+)?instructions\b", r"(?im)^\s*(system|assistant|user)\s*:\s*$"]
+_PAPER = [
+    r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]",
+    r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b",
+]
 
 
 def _chain(column: str, patterns: list[str], by: str) -> str:
@@ -287,7 +307,7 @@ SQL = {
     "node_roles": _BASE + "select repo, id, degree, is_file, is_concept from k",
     "merged_links": _BASE + "select * from m",
     "dangling_links": _BASE + "select distinct repo, source, target, relation, 'source' as missing_end from w where not exists (select 1 from n where n.repo = w.repo and n.id = w.source) union all select distinct repo, source, target, relation, 'target' from w where not exists (select 1 from n where n.repo = w.repo and n.id = w.target)",
-    "unknown_relations": "select relation, count(*) as n_edges from agent_edges where relation is not null and relation not in (" + ", ".join(f"'{r}'" for r in graph.RELATIONS) + ") group by relation",
+    "unknown_relations": "select relation, count(*) as n_edges from agent_edges where relation is not null and relation not in (" + _KNOWN + ") group by relation",
     "node_errors": "select repo, error, count(*) as n_rows from (" + " union all ".join([f"select repo, 'missing {c}' as error from graph_nodes where coalesce({c}, '') = ''" for c in ("id", "label", "file_type", "source_file")] + ["select repo, 'unknown file_type' from graph_nodes where file_type <> '' and file_type not in ('code', 'document', 'paper', 'image', 'rationale')"]) + ") group by all",
     "link_errors": "select repo, error, count(*) as n_rows from (" + " union all ".join([f"select repo, 'missing {c}' as error from graph_links where coalesce({c}, '') = ''" for c in ("source", "target", "relation", "confidence", "source_file")] + ["select repo, 'unknown confidence' from graph_links where confidence <> '' and confidence not in ('EXTRACTED', 'INFERRED', 'AMBIGUOUS')", "select repo, 'score out of range' from graph_links where confidence_score not between 0 and 1", "select repo, 'decay out of range' from graph_links where decay_weight not between 0 and 1", "select repo, 'missing score' from graph_links where confidence_score is null"]) + ") group by all",
     "community_cohesion": _BASE + "select c.repo, c.community, n_nodes, coalesce(n_links, 0) as n_links, case when n_nodes <= 1 then 1 else coalesce(n_links, 0) / (n_nodes * (n_nodes - 1) / 2) end as cohesion from (select repo, community, count(*) as n_nodes from c group by all) c left join (select a.repo, a.community, count(*) as n_links from u join c a on a.repo = u.repo and a.id = lo join c b on b.repo = u.repo and b.id = hi where a.community = b.community and lo <> hi group by all) i on i.repo = c.repo and i.community = c.community",
@@ -331,13 +351,15 @@ select repo, array_to_string(path, ' > ') as path, len(path)::int as n_nodes fro
     "recent_edges": "select * from (select *, row_number() over (partition by repo order by ts desc, from_id, to_id, relation nulls last) as rank from (select distinct repo, from_id, to_id, relation, ts from agent_edges where from_id is not null and to_id is not null)) where rank <= 5",
     "resolved_notes": _BASE + "select x.repo, x.id, x.label, coalesce(n.id, l.label_id) as node_id from (select distinct repo, id, label from annotations where id is not null or label is not null) x left join n on n.repo = x.repo and n.id = x.id left join (select repo, lower(label) as low, min(id) as label_id from n where label is not null group by all) l on l.repo = x.repo and l.low = lower(x.label)",
     "node_search": _BASE + "select repo, id, score from (select repo, id, (" + " + ".join([f"case when contains(lower(coalesce(label, '')), '{t}') then 1.0 else 0 end + case when contains(lower(coalesce(source_file, '')), '{t}') then 0.5 else 0 end" for t in ("schema", "merge", "index")]) + ")::double as score from n) where score > 0 order by score desc, id desc, repo desc limit 20",
-    "file_status": "with f as (select repo, source_file, max(modified_at) as new_at from source_files group by all), o as (select repo, source_file, max(modified_at) - interval 1 day as old_at from source_files where modified_at < '2025-01-01' group by all) select repo, case when old_at is null then 'new' when new_at > old_at then 'modified' else 'unchanged' end as status, count(*) as n_files from f left join o using (repo, source_file) group by all",
+    "file_status": f"with {_LAST}, h as (select repo, back, v.source_file as source_file, loaded_at from (select repo, snapshot_no, id, max(loaded_at) as loaded_at, arg_max(struct_pack(source_file), loaded_at) as v from graph_nodes where id is not null group by all) join last using (repo, snapshot_no) where v.source_file <> ''), "
+    "n as (select repo, source_file, max(modified_at) as new_at from source_files join (select distinct repo, source_file from h where back = 1) using (repo, source_file) group by all), o as (select repo, source_file, max(loaded_at) as old_at from h where back = 2 group by all) "
+    "select repo, case when old_at is null then 'new' when new_at is null then 'deleted' when new_at > old_at then 'modified' else 'unchanged' end as status, count(*) as n_files from n full join o using (repo, source_file) group by all",
     "node_staleness": _BASE + "select n.repo, case when modified_at is null then 'ghost' when modified_at > loaded_at then 'stale' else 'fresh' end as state, count(*) as n_nodes from n join (select repo, id, max(loaded_at) as loaded_at from graph_nodes group by all) g on g.repo = n.repo and g.id = n.id left join (select repo, source_file, max(modified_at) as modified_at from source_files group by all) f on f.repo = n.repo and f.source_file = n.source_file where n.source_file <> '' group by all",
     "file_categories": f"select repo, {_CAT.format('source_file')} as category, count(*) as n_files from source_files group by all",
     "node_slugs": _BASE + r"select repo, id, regexp_replace(lower(regexp_replace(concat_ws('_', source_file, label), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') as slug, substring(regexp_replace(label, '[\x00-\x1f\x7f]', '', 'g'), 1, 256) as clean from n",
     "secret_documents": f"select doc_id, rtrim(names, ',') as secrets, n_chars from (select doc_id, {_NAMES} as names, length({_chain('t', [p for _, p in _SECRET], '[REDACTED]')}) as n_chars from (select doc_id, text as t from documents where text is not null))",
-    "disarmed_documents": f"select doc_id, length(t) as before, length({_chain('t', T.GADGETS, '[stripped]')}) as after from (select doc_id, text as t from documents where text is not null)",
-    "paper_documents": "select doc_id, n_signs from (select doc_id, " + " + ".join(f"regexp_matches(text, '{p}')::int" for p in T.PAPER_SIGNS) + " as n_signs from documents where text is not null) where n_signs >= 3",
+    "disarmed_documents": f"select doc_id, length(t) as before, length({_chain('t', _STEERING, '[stripped]')}) as after from (select doc_id, text as t from documents where text is not null)",
+    "paper_documents": "select doc_id, n_signs from (select doc_id, " + " + ".join(f"regexp_matches(text, '{p}')::int" for p in _PAPER) + " as n_signs from documents where text is not null) where n_signs >= 3",
     "corpus_size": "with t as (select file_type, length(text) as n, case when trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' then 0 else len(regexp_split_to_array(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[ \\t\\r\\n]+')) end as words from documents) select file_type, count(*) as n_docs, sum(words)::bigint as n_words, (sum(words) * 100 // 75)::bigint as n_tokens, sum(n // 4)::bigint as n_quarter_chars from t group by all",
     "event_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n_events, sum(value::decimal(18,4)) as value from events group by all",
     "user_sessions": "with o as (select user_id, ts, coalesce(ts > lag(ts) over (partition by user_id order by ts) + interval 30 minute, true)::int as opens from events where user_id is not null), g as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as no from o) select user_id, min(ts) as session_start, count(*) as n_events from g group by user_id, no",

@@ -168,7 +168,8 @@ QUERIES = {
 }
 
 _KEPT = _BASE + ", kl as (select w.* from w where exists (select 1 from n where n.repo = w.repo and n.id = w.source) and exists (select 1 from n where n.repo = w.repo and n.id = w.target)), kp as (select repo, least(source, target) as lo, greatest(source, target) as hi, coalesce(min(relation), '') as rel from kl where source <> target group by all), ki as (select repo, lo as id, hi as other, rel from kp union all select repo, hi, lo, rel from kp)"
-_TERMS = ", ".join(f"({n}, '{q}', '{w}')" for n, q in enumerate(retrieval.QUESTIONS) for w in q.split() if len(w) > 2)
+_ASKED = ["which module loads the snapshot cache", "where is the schema index merged", "which notes mention the ledger export", "how does the manifest reach the store", "what calls the token parser"]
+_TERMS = ", ".join(f"({n}, '{q}', '{w}')" for n, q in enumerate(_ASKED) for w in q.split() if len(w) > 2)
 _PATHS = [f"p{t} as (select p.repo, inc.other as id, min(list_append(p.path, inc.other)) as path from p{t - 1} p join inc on inc.repo = p.repo and inc.id = p.id where " + " and ".join(f"not exists (select 1 from p{s} x where x.repo = p.repo and x.id = inc.other)" for s in range(t)) + " group by all)" for t in range(1, 7)]
 _MATCH = f"with {_STANDING}, {_LAST}, old as (select repo, id, community as oc from s join last using (repo, snapshot_no) where back = 2 and community is not null), new as (select repo, id, community as nc from s join last using (repo, snapshot_no) where back = 1 and community is not null), sh as (select repo, oc, nc, count(*) as n_shared from old join new using (repo, id) group by all), mt as (select repo, oc as old_community, nc as new_community, n_shared, n_shared / (a + b - n_shared) as likeness from sh join (select repo, oc, count(*) as a from old group by all) using (repo, oc) join (select repo, nc, count(*) as b from new group by all) using (repo, nc) where n_shared / (a + b - n_shared) >= 0.7)"
 
@@ -211,7 +212,7 @@ select repo, rank, ['ambiguous_edge', 'bridge_node', 'verify_inferred', 'isolate
     "node_keys": _BASE + r"select repo, id, substring(sha256(id), 1, 16) as element, replace(replace(label, '\', '\\'), '''', '\''') as cypher, replace(replace(replace(label, '`', ''''), '<', '&lt;'), '>', '&gt;') as markdown from n",
     "retained_snapshots": "select repo, snapshot_no, age, age <= 5 as kept from (select *, row_number() over (partition by repo order by snapshot_ts desc, snapshot_no desc) as age from (select distinct repo, snapshot_no, snapshot_ts from snapshot_log))",
     "document_sentences": r"select doc_id, (case when t = '' then 0 else len(regexp_extract_all(t, '[.!?][ \t\r\n]+')) + 1 end)::int as n_sentences from (select doc_id, regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') as t from documents where text is not null)",
-    "tech_tags": "select repo, tag, count(*) as n_files from (select distinct repo, source_file from source_files) join (values " + ", ".join(f"('{s}', '{t}')" for s, t in T.TECH_TAGS.items()) + r") m(suffix, tag) on lower(regexp_extract(source_file, '\.([^./]+)$', 1)) = suffix group by all",
+    "tech_tags": r"select repo, tag, count(*) as n_files from (select distinct repo, source_file from source_files) join (values ('py', 'python'), ('ts', 'typescript'), ('js', 'javascript'), ('go', 'go'), ('rs', 'rust'), ('java', 'java'), ('rb', 'ruby'), ('c', 'c'), ('cpp', 'cpp'), ('cs', 'csharp'), ('swift', 'swift'), ('kt', 'kotlin'), ('sql', 'sql'), ('sh', 'shell')) m(suffix, tag) on lower(regexp_extract(source_file, '\.([^./]+)$', 1)) = suffix group by all",
     "concept_links": _KEPT + """, x as (select repo, case when relation = 'implemented_by' then target else source end as s, case when relation = 'implemented_by' then source else target end as t, case confidence when 'EXTRACTED' then 3 when 'INFERRED' then 2 when 'AMBIGUOUS' then 1 else 0 end as tier, confidence_score from kl where relation in ('implements', 'implemented_by')),
 y as (select x.*, coalesce(b.file_type = 'code', false) and not coalesce(a.file_type = 'code', false) as turned from x join n a on a.repo = x.repo and a.id = s join n b on b.repo = x.repo and b.id = t), z as (select repo, case when turned then t else s end as source, case when turned then s else t end as target, tier, confidence_score from y)
 select repo, source, target, n_rows, best as tier, confidence_score from (select repo, source, target, row_number() over (partition by repo, least(source, target), greatest(source, target) order by tier desc, coalesce(confidence_score, -1) desc, source, target) as r, count(*) over g as n_rows, max(tier) over g as best, max(confidence_score) over g as confidence_score from z window g as (partition by repo, least(source, target), greatest(source, target))) where r = 1""",
