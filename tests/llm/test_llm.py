@@ -141,6 +141,51 @@ def test_file_kinds(spark):
     assert handwritten.file_kinds(files.limit(0), libraries.limit(0)).count() == 0
 
 
+def kinds_of(spark, rows, libraries=()):
+    files = spark.createDataFrame([(*r, None) for r in rows], "repo string, source_file string, file_text string, modified_at timestamp")
+    known = spark.createDataFrame([(f"l{i}", x) for i, x in enumerate(libraries)], "file_name string, file_text string")
+    return [(r.repo, r.source_file, r.kind) for r in handwritten.file_kinds(files, known).collect()]
+
+
+def test_every_file_comes_once_whatever_its_repo_and_path(spark):
+    """Null and empty repos are different ones; leading and repeated slashes and ./ make no second folder."""
+    rows = [(repo, path, PY.format(f"n{i}{j}", j)) for i, repo in enumerate((None, "", "r")) for j, path in enumerate(("src/n.py", "n.py", "src/deep/er/n.py", None))]
+    rows += [("s", "/b.py", PY.format("b", 1)), ("s", "a//c.py", PY.format("c", 2)), ("s", "./a/d.py", PY.format("d", 3)), ("s", "a/./e.py", PY.format("e", 4)), *(("s", f"/a/f{i}.py", PY.format(f"f{i}", i)) for i in range(400))]
+    got = kinds_of(spark, rows)
+    assert len(got) == len(rows)
+    assert {(r, p) for r, p, _ in got} == {(r, p) for r, p, _ in rows} and {k for *_, k in got} == {"handwritten"}
+
+
+def test_short_identical_copies_and_quoted_marks(spark):
+    short = "let total = first + second * third - fourth;"
+    rows = [("r", "lib/x.js", short), ("s", "lib/y.js", short.replace(" ", "  ")), ("r", "lib/z.js", short.replace("first", "other"))]
+    rows += [("t", "a.py", "# Tells readers that \"Code generated by a tool. DO NOT EDIT.\" stands there.\n" + PY.format("a", 1)), ("t", "b.py", PY.format("b", 2) + "# Code generated by no tool at all\n")]
+    rows += [("t", "c.py", "# generated by widgetgen 3\n" + PY.format("c", 3)), ("t", "d.py", "# Copyright (c) 2019 the otherlib contributors\n# otherlib v2.4.1\n" + PY.format("d", 4))]
+    got = {(r, p): k for r, p, k in kinds_of(spark, rows, [short])}
+    assert got[("r", "lib/x.js")] == got[("s", "lib/y.js")] == "vendored" and got[("r", "lib/z.js")] == "handwritten"
+    assert [got[("t", f"{x}.py")] for x in "abcd"] == ["handwritten", "handwritten", "generated", "vendored"]
+
+
+def test_words_and_settings_against_plain_python():
+    import re
+
+    import pyarrow as pa
+
+    draw = random.Random(9)
+    for texts in (["", "abc", "def ghi", "", "x", "y z\n\n  \nq", "ü_1 é", "", "\n", "a"], [""], [" ", "  a"], ["".join(draw.choice("ab_1 .\n\té") for _ in range(draw.randrange(40))) for _ in range(300)]):
+        array = pa.array(texts)
+        data, at = handwritten._bytes(array)
+        words, n_words = handwritten._words(data, at)
+        plain = [re.findall(rb"[A-Za-z0-9_\x80-\xff]+", t.encode()) for t in texts]
+        assert n_words.tolist() == [len(x) for x in plain]
+        numbers = {}
+        assert all(numbers.setdefault(w, x) == x for w, x in zip([w for x in plain for w in x], words.tolist(), strict=True)) and len(set(numbers.values())) == len(numbers)
+        n, line, solid, _ = handwritten._setting(array, data, at)
+        assert n.tolist() == [max(len(t), 1) for t in texts]
+        assert np.allclose(line, [max(len(t), 1) / max(sum(bool(x.strip()) for x in t.split("\n")), 1) for t in texts])
+        assert solid.tolist() == [len("".join(t.split())) for t in texts]
+
+
 def alike(x, y):
     x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
     return bool(x | y) and len(x & y) >= handwritten.SIMILAR * len(x | y)

@@ -1,21 +1,26 @@
 """Which source files were written by hand, and which were generated, minified, vendored or are data.
 
-Each file gets evidence from its own text: marker comments, how regular its lines are, how densely
-they are set, how much of it is literals, and whether other repos or known libraries hold the same
-text (identical word sequences first, then near copies: five-word shingles, Jaccard 0.8 or more).
-Belief propagation then runs over every repo's directory tree: files send messages up to their
-folder and folders to their parents, with a compatibility that prefers equal kinds; folder names add
-weak evidence; the way down gives each file what its siblings and parents say. A tree has no loops,
-so one pass up and one down are exact.
-
-Defined cases: repeated rows of a file count once (the latest change, then the greatest text);
-null texts yield no row; empty ones count as written by hand; paths are split at '/', a null path or
-repo is a value like others; empty tables yield no rows; extra columns are not read.
+Each file gets evidence from its own text: what its leading comment says of where it comes from, how
+regular its lines are, how densely they are set, how much of it is literals, and whether other repos or
+known libraries hold the same text (identical word sequences first, of any length; then near copies:
+five-word shingles, Jaccard 0.8 or more). Belief propagation then runs over every repo's directory tree:
+files send messages up to their folder and folders to their parents, with a compatibility that prefers
+equal kinds; folder names add weak evidence; the way down gives each file what its siblings and parents
+say. A tree has no loops, so one pass up and one down are exact.
+
+Texts are read once and never shuffled: a task turns them into findings, a key of the word sequence, a
+short signature and the shingles; shingles move only for pairs that the signatures cannot rule out.
+
+Defined cases: repeated rows of a file count once (the latest change, then the greatest text key); null
+texts yield no row; empty ones count as written by hand; a null repo is a repo of its own, other than '';
+paths are split at '/', where a leading or repeated '/' or './' says nothing; a null path is a file at the
+root; empty tables yield no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,25 +31,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import broadcast_if_small, materialize
 from ..plans.skew import join_groups
 
 KINDS = ["handwritten", "generated", "minified", "vendored", "blob"]
 
-#: What tools and people write into comments. A line that quotes a marker is no marker.
-_COMMENT = r"(?mi)^[ \t]*(?://+|#+|/?\*+!?|--+|;+|<!--)[ \t]*(?:-\*-[ \t]*)?"
-GENERATED = _COMMENT + (
-    r"(?:@generated\b|<auto-generated|(?:code |file |this file (?:is|was) )?(?:auto-?generated|automatically generated|generated automatically|machine[- ](?:generated|written|made))\b"
-    r"|code generated (?:by|from) [^%\s]|generated (?:by|from|with) [^%\s]|(?:emitted|produced|created|written) by (?:the )?\S+(?: compiler\b|(?:gen|codegen|forge|wright|c)\b[^\n]*(?:edit|chang|overwrit|vanish|lost))"
-    r"|[^\"%\n]*\bautomatically (?:created|generated|produced)\b|[^\"%\n]*\bdo not (?:edit|modify|change)\b|[^\"%\n]*\b(?:edits|changes) (?:\w+ ){0,2}(?:overwritten|lost|vanish)"
-    r"|[^\"%\n]*\b(?:maschinell|automatisch) (?:erzeugt|erstellt|generiert)|[^\"%\n]*\b(?:généré|générée) (?:automatiquement|par)|[^\"%\n]*\bgenerado (?:automáticamente|por)|[^\"%\n]*\bne pas modifier\b|[^\"%\n]*\bno (?:editar|modificar)\b)"
+#: Where the leading comment of a file ends, and quoted words in it, which name a thing without being it.
+_HEADER = re.compile(r"(?:\s*(?:(?://|--|;|#(?![\[!]|include\b|define\b|if|pragma\b|import\b))[^\n]*|/\*.*?\*/|<!--.*?-->|<\?php|#!\S[^\n]*))*", re.S)
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|`[^`\n]*`")
+#: What tools write about their output, in the languages of the corpus.
+_GENERATED = re.compile(
+    r"(?im)@generated\b|\b(?:auto|machine)[- ]?(?:generated|written|made|created)\b|\bautomatically (?:generated|created|produced|written)\b"
+    r"|\bgenerated automatically\b|\bgenerated (?:by|from|with) (?!this\b|our\b|these\b|%)\S|\b(?:produced|emitted) by (?:the )?[\w.-]+(?: compiler| generator|:)"
+    r"|\bdo not (?:edit|modify|change)\b|\b(?:edits|changes) (?:\w+ ){0,3}(?:overwritten|lost|discarded)"
+    r"|\b(?:maschinell|automatisch) (?:erzeugt|erstellt|generiert)\b|\bgénérée? (?:automatiquement|par)\b|\bgenerado (?:automáticamente|por)\b"
 )
-VENDORED = _COMMENT + (
-    r"(?:vendored from|upstream:|bundled copy of|copied from the|taken over (?:unchanged )?from|imported from the|local patch:|this file is part of (?:the )?\w+, an?\b|you may use it under the terms|released under the \S+ licen[cs]e by|\(?c\)? ?\d{4}[^\n]*\b(?:contributors|authors)\b"
-    r"|copyright (?:\(c\)|©) \d{4}[^\n]*\b(?:contributors|authors|project)\b|@version \d|[\w.-]+ v?\d+\.\d+(?:\.\d+)? (?:\(|\||-)|@license\b|@preserve\b)"
+#: What speaks for another project as the source: a release number, a holder, a licence, a way it came.
+_VENDORED = re.compile(
+    r"(?im)^\W*(?:vendored|bundled|copied|taken|imported|forked|ported|adapted|derived)\b[^\n]*\b(?:from|of)\b|^\W*upstream\b|^\W*this file is part of \w"
+    r"|\bcopyright\b[^\n]*\b(?:contributors|authors|project|foundation|inc|ltd)\b|@(?:version|license|preserve)\b|\bv?\d+\.\d+\.\d+\b|\bv\d+\.\d+\b"
+    r"|\b(?:released|distributed) under the [^\n]*licen[cs]e\b"
 )
-OWN = _COMMENT + r"[^\n]*\b(?:(?:of|rest of) this repository|(?:kept|maintained|written) (?:and kept )?by hand)\b"
-_OWN_NOT = r"(?i)\b(?:not|nicht) [^\n]*\bby hand\b"
+#: A comment anywhere that tells of a change to somebody else's file (for RE2).
+_PATCHED = r"(?mi)^[ \t]*(?://|#|/?\*|--|;)[ \t]*local(?:ly)? (?:patch(?:ed)?|modif(?:ied|ications?))\b"
+#: Literals (for RE2, which takes repeated groups without recursion), and bytes that carry no word.
+_LITERALS = r"(?s)\"\"\".*?\"\"\"|`(?:[^`\\]|\\.)*`|r#\".*?\"#|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b0x[0-9A-Fa-f]+"
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
+_WORDLESS = _SPACE | np.isin(np.arange(256), list(b"0123456789,;:.[](){}=+-")) | (np.arange(256) & 0xC0 == 0x80)
 #: File names that tools give.
 _GENERATED_NAME = r"(?i)(?:_pb2(?:_grpc)?\.py|\.pb\.(?:go|cc|h)|\.gen\.\w+|\.g\.\w+|grpc\.java|\.tab\.[ch]|\.generated\.\w+|_generated\.\w+)$"
 _MINIFIED_NAME = r"(?i)(?:[.-]min\.\w+|\.[0-9a-f]{8,}\.\w+|\.bundle\.\w+)$"
@@ -59,20 +72,42 @@ FOLDERS = [
 SAME, OTHER = 0.8, 0.05
 PRIOR = [0.76, 0.08, 0.05, 0.07, 0.04]
 SIMILAR = 0.8
+#: Buckets of a text's signature: how many of its shingles fall into each. Shared shingles are at most the sum of the lesser counts.
+BUCKETS = 128
 #: Shingles whose frequency in a sample of the texts puts them last; the order saves time and loses no pair.
 HOT_SHINGLES, SAMPLED = 100_000, 16
 
 
-_NO_WORD = np.uint64(xxhash.xxh64_intdigest(""))
+#: A number for each byte and an odd multiplier, from which words get theirs; drawn once, by a fixed seed.
+_BYTE_NUMBERS = np.random.default_rng(20260901).integers(0, 2**64, 256, np.uint64)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of words: ASCII letters, figures, the underscore, and all of other scripts.
+_WORD_BYTES = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")) | (np.arange(256) >= 128)
 
 
-def _word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit numbers of the words of all texts, and the number of words per text."""
-    words = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(texts, r"[^\p{L}\p{N}_]+", " "), " "), " ")
-    flat, size = words.flatten(), np.diff(words.offsets.to_numpy())
-    coded = flat.dictionary_encode()
-    numbers = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return numbers[coded.indices.to_numpy()], size
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of the words of all texts, and the number of words per text.
+
+    A word's number is that of its bytes as digits to the base _STEP, taken from running sums over all bytes.
+    """
+    inside = np.concatenate([[False], _WORD_BYTES[data], [False]])
+    edge = inside[1:] != inside[:-1]
+    edge[at] |= inside[1:][at] & inside[:-1][at]  # a text's end parts words that touch the next text
+    cut = np.flatnonzero(edge)
+    starts = cut[inside[1:][cut]]
+    ends = np.append(cut[1:], len(data))[inside[1:][cut]] if len(cut) else starts
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int((ends - starts).max()) if len(starts) else 0, _STEP))
+        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(starts) and starts[0] == 0 else None
+        if place is None:
+            place = np.zeros(len(data), np.int64)
+            if len(starts):
+                place[starts[0] :] = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        part = np.where(inside[1:-1], _BYTE_NUMBERS[data] * powers[np.minimum(place, max(len(powers) - 1, 0))], np.uint64(0)) if len(powers) else np.zeros(len(data), np.uint64)
+        numbers = np.add.reduceat(part, starts) if len(starts) else np.zeros(0, np.uint64)
+        numbers = (numbers ^ (numbers >> np.uint64(29))) * _MIX
+        numbers ^= numbers >> np.uint64(32)
+    return numbers, np.diff(np.searchsorted(starts, at))
 
 
 def shingle_sets(words: np.ndarray, sizes: np.ndarray, length: int = 5) -> list[np.ndarray]:
@@ -86,9 +121,10 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray, length: int = 5) -> list[
 
 
 def _prefixes(hot: np.ndarray):
-    """Each text's rarest shingles, as many as any text at SIMILAR or more must share one of: (shingle, text_key, n, open).
+    """Each text's rarest shingles, as many as any text at SIMILAR or more must share one of: (shingle, text_key, n, place, open).
 
-    Shingles stand in one order for all texts: those not in ``hot`` first, then the hot ones, most frequent last.
+    Shingles stand in one order for all texts: those not in ``hot`` first, then the hot ones, most frequent
+    last; ``place`` is the shingle's number in that order within its text.
     """
     values, rank = np.sort(hot), len(hot) - np.argsort(hot)
 
@@ -97,15 +133,17 @@ def _prefixes(hot: np.ndarray):
             keys, unsettled, lists = batch.columns
             flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             text = np.repeat(np.arange(len(size)), size)
-            place = np.zeros(len(flat), np.int64)
+            late = np.zeros(len(flat), np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-                place = np.where(values[at] == flat, rank[at], 0)
-            order = np.lexsort((flat, place, text))
+                late = np.where(values[at] == flat, rank[at], 0)
+            order = np.lexsort((flat, late, text))
             least = np.ceil(SIMILAR * size - 1e-9).astype(np.int64)
-            kept = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) <= np.repeat(size - least, size)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            kept = place <= np.repeat(size - least, size)
             owner = text[order][kept]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), keys.take(pa.array(owner)), pa.array(size[owner].astype(np.int32)), unsettled.take(pa.array(owner))], names=["shingle", "text_key", "n", "open"])
+            columns = [pa.array(flat[order][kept]), keys.take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (size[owner], place[kept]))]
+            yield pa.RecordBatch.from_arrays([*columns, unsettled.take(pa.array(owner))], names=["shingle", "text_key", "n", "place", "open"])
 
     return run
 
@@ -121,39 +159,95 @@ def regular_shares(texts: pa.Array) -> np.ndarray:
     return np.bincount(text, size * (count[code] >= 6), len(texts)) / np.maximum(np.bincount(text, size, len(texts)), 1)
 
 
+def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are flagged."""
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes in one array, and where each text begins and ends."""
+    kept = pa.concat_arrays([texts]).cast(pa.large_string())
+    _, offsets, data = kept.buffers()
+    at = np.frombuffer(offsets, np.int64)[kept.offset : kept.offset + len(kept) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _setting(texts: pa.Array, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of each text: characters, characters a line that is not blank, characters but white space, and share of characters outside literals, figures and marks."""
+    inner = (data & 0xC0) == 0x80
+    n = np.maximum(_per_text(~inner, at), 1)
+    solid = ~_SPACE[data]
+    # lines begin after a line feed and where a text does; one is not blank if a solid byte is in it
+    begins = np.union1d(np.flatnonzero(data == 10) + 1, at)[:-1] if len(data) else at[:0]
+    filled = np.add.reduceat(solid, begins, dtype=np.int64) > 0 if len(begins) else np.zeros(0, bool)
+    n_lines = np.diff(np.concatenate([[0], np.cumsum(filled)])[np.searchsorted(begins, at)])
+    bare, bare_at = _bytes(pc.replace_substring_regex(texts, _LITERALS, ""))
+    return [n, n / np.maximum(n_lines, 1), _per_text(solid & ~inner, at), _per_text(~_WORDLESS[bare], bare_at) / n]
+
+
+_FEATURES = (
+    "scope string, repo string, source_file string, modified_at timestamp, text_key string, n_words int, shingles array<bigint>, signature binary, regular double, "
+    "n bigint, line double, solid bigint, bare double, marked boolean, taken boolean"
+)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
-            piece = batch.slice(start, 512)
-            repo, path, texts = piece.columns
-            words, sizes = _word_lists(texts)
+            *own, texts = batch.slice(start, 512).columns
+            data, offsets = _bytes(texts)
+            words, sizes = _words(data, offsets)
             sets = shingle_sets(words, sizes)
             ends = np.cumsum(sizes)
             keys = [xxhash.xxh128_hexdigest(words[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
-            # splitting a text without words gives one empty word
-            n_words = np.where([n == 1 and words[e - 1] == _NO_WORD for e, n in zip(ends, sizes, strict=True)], 0, sizes)
-            lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([repo, path, pa.array(keys), pa.array(n_words.astype(np.int32)), lists, pa.array(regular_shares(texts))], names=["repo", "source_file", "text_key", "n_words", "shingles", "regular"])
-
-
-def latest_files(files: DataFrame) -> DataFrame:
-    """One row of each file with text: (repo, source_file, file_text)."""
-    rows = files.where("file_text is not null").groupBy("repo", "source_file").agg(F.max(F.struct("modified_at", "file_text")).alias("row"))
-    return rows.select("repo", "source_file", F.col("row.file_text").alias("file_text"))
+            signatures = [np.bincount((x >> np.uint64(33)).astype(np.int64) % BUCKETS, minlength=BUCKETS).clip(max=65535).astype(np.uint16).tobytes() for x in sets]
+            headers = [_QUOTED.sub("", _HEADER.match(t).group(0)) for t in texts.to_pylist()]
+            patched = pc.match_substring_regex(texts, _PATCHED).to_numpy(zero_copy_only=False)
+            found = [[bool(p.search(h)) for h in headers] for p in (_GENERATED, _VENDORED)]
+            columns = [pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            columns += [pa.array(x) for x in (regular_shares(texts), *_setting(texts, data, offsets), np.array(found[0], bool), np.array(found[1], bool) | patched)]
+            yield pa.RecordBatch.from_arrays([*own, *columns], names=[x.split()[0] for x in _FEATURES.split(", ")])
 
 
-def near_pairs(texts: DataFrame, first_leads: int = 4) -> DataFrame:
-    """Pairs (text_key, lead, spread) at SIMILAR or more of ``texts`` (text_key, repo, shared, shingles), enough to settle every text.
-
-    Texts are alike only if they share a shingle of their prefixes, so members of a prefix shingle are
-    candidates. A text is open until a pair shows that another repo or a library holds it too. In each
-    round a shingle's first open texts lead: each is compared with all other members, then leaves the
-    shingle. So a text that stays open has met all its candidates, and the many copies of one text,
-    settled by their first common lead, make no pairs among themselves.
+def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures allow SIMILAR; a bucket at its highest count allows anything."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64) for c in ("signature", "lead_signature"))
+        n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "lead_n"))
+        most = np.minimum(one, two).sum(1) if batch.num_rows else np.zeros(0)
+        open_ended = ((one == 65535) | (two == 65535)).any(1)
+        kept = pa.array(open_ended | (most >= SIMILAR * (n + m - most) - 1e-6))
+        yield batch.select(["text_key", "lead"]).filter(kept)
+
+
+def _alike(likely: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (text_key, lead) that are at SIMILAR or more by their shingles, and whether two repos or a library hold them."""
+    own = texts.select("text_key", "repo", "shared").join(sets.select("text_key", "shingles"), "text_key")
+    held = materialize(own.join(broadcast_if_small(_ends(likely)), "text_key", "left_semi"), "compared_sets")
+    lead = held.select(F.col("text_key").alias("lead"), F.col("repo").alias("lead_repo"), F.col("shingles").alias("held"))
+    sizes = materialize(likely.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(lead, "lead"), "centres")
+    compared = join_groups(likely.join(held, "text_key"), sizes, ["lead"], likely.count())
+    both = F.size(F.array_intersect("shingles", "held"))
+    spread = F.col("shared") | ~F.col("repo").eqNullSafe(F.col("lead_repo"))
+    return materialize(compared.where(both >= SIMILAR * (F.size("shingles") + F.size("held") - both)).select("text_key", "lead", spread.alias("spread")), "near_copies")
+
+
+def near_pairs(texts: DataFrame, shingles: DataFrame, first_leads: int = 8) -> DataFrame:
+    """Pairs (text_key, lead, spread) at SIMILAR or more of ``texts`` (text_key, repo, shared, signature), enough to settle every text.
+
+    ``shingles`` holds (text_key, shingles). Texts are alike only if they share a shingle of their prefixes,
+    so members of a prefix shingle are candidates. A text is open until a pair shows that another repo or a
+    library holds it too. In each round a shingle's first open texts lead: each is compared with all other
+    members, then leaves the shingle. So a text that stays open has met all its candidates, and the many
+    copies of one text, settled by their first common lead, make no pairs among themselves.
+
+    Before shingles are compared, candidates are ruled out that cannot be alike: by their sizes, by the places
+    of the shingle in both (what follows the first shared one bounds what is shared), and by their signatures.
     """
-    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
+    sets = materialize(texts.select("text_key", (~F.col("shared")).alias("open")).join(shingles, "text_key"), "shingle_sets")
+    sample = sets.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
     hot = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toArrow()
-    prefixes = materialize(texts.select("text_key", (~F.col("shared")).alias("open"), "shingles").mapInArrow(_prefixes(hot["shingle"].to_numpy()), "shingle bigint, text_key string, n int, open boolean"), "prefixes")
+    prefixes = materialize(sets.select("text_key", "open", "shingles").mapInArrow(_prefixes(hot["shingle"].to_numpy()), "shingle bigint, text_key string, n int, place int, open boolean"), "prefixes")
 
     def alive(rows: DataFrame) -> DataFrame:
         count = F.count(F.lit(1)).alias("size")
@@ -163,24 +257,24 @@ def near_pairs(texts: DataFrame, first_leads: int = 4) -> DataFrame:
     members, leads, found = alive(prefixes), first_leads, []
     while not members.isEmpty():
         turn = F.row_number().over(Window.partitionBy("shingle").orderBy("text_key"))
-        leading = materialize(members.where("open").withColumn("turn", turn).where(F.col("turn") <= leads).select("shingle", "text_key", "n"), "leading")
+        leading = materialize(members.where("open").withColumn("turn", turn).where(F.col("turn") <= leads).select("shingle", "text_key", "n", "place"), "leading")
         sized = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
-        groups = materialize(leading.groupBy("shingle").agg(F.collect_list(F.struct("text_key", "n")).alias("leads")).join(sized, "shingle"), "leads")
-        met = join_groups(members, groups, ["shingle"]).select("text_key", "n", "open", F.explode("leads").alias("l"))
+        groups = materialize(leading.groupBy("shingle").agg(F.collect_list(F.struct("text_key", "n", "place")).alias("leads")).join(sized, "shingle"), "leads")
+        met = join_groups(members, groups, ["shingle"]).select("text_key", "n", "place", "open", F.explode("leads").alias("l"))
         # an open member before a lead leads itself, so each pair of leads is met from one side
-        met = met.where((F.col("text_key") > F.col("l.text_key")) | ~F.col("open"))
-        met = met.where((F.least("n", "l.n") >= SIMILAR * F.greatest("n", "l.n") - 1e-6) & (F.col("text_key") != F.col("l.text_key")))
-        pairs = materialize(met.select("text_key", F.col("l.text_key").alias("lead")).distinct(), "pairs")
-        lead = texts.select(F.col("text_key").alias("lead"), F.col("repo").alias("lead_repo"), F.col("shingles").alias("held"))
-        sizes = materialize(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(lead, "lead"), "centres")
-        compared = join_groups(pairs.join(texts, "text_key"), sizes, ["lead"])
-        both = F.size(F.array_intersect("shingles", "held"))
-        spread = F.col("shared") | ~F.col("repo").eqNullSafe(F.col("lead_repo"))
-        near = materialize(compared.where(both >= SIMILAR * (F.size("shingles") + F.size("held") - both)).select("text_key", "lead", spread.alias("spread")), "near_copies")
+        met = met.where((F.col("text_key") > F.col("l.text_key")) | ~F.col("open")).where(F.col("text_key") != F.col("l.text_key"))
+        met = met.where(F.least("n", "l.n") >= SIMILAR * F.greatest("n", "l.n") - 1e-6)
+        met = met.where(F.least(F.col("n") - F.col("place"), F.col("l.n") - F.col("l.place")) >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("l.n")) - 1e-6)
+        pairs = materialize(met.select("text_key", F.col("l.text_key").alias("lead"), "n", F.col("l.n").alias("lead_n")).distinct(), "pairs")
+        by_lead = texts.select(F.col("text_key").alias("lead"), F.col("signature").alias("lead_signature"))
+        led = materialize(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(by_lead, "lead"), "led")
+        signed = join_groups(pairs.join(texts.select("text_key", "signature"), "text_key"), led, ["lead"], pairs.count())
+        likely = materialize(signed.mapInArrow(_not_ruled_out, "text_key string, lead string"), "likely")
+        near = likely.limit(0).withColumn("spread", F.lit(False)) if likely.isEmpty() else _alike(likely, texts, sets)
         found.append(near)
         settled = materialize(_ends(near.where("spread")).withColumn("settled", F.lit(True)), "settled")
-        rest = members.join(leading, ["shingle", "text_key"], "left_anti").join(settled, "text_key", "left")
-        members = alive(rest.select("shingle", "text_key", "n", (F.col("open") & F.col("settled").isNull()).alias("open")))
+        rest = members.join(leading, ["shingle", "text_key"], "left_anti").join(broadcast_if_small(settled), "text_key", "left")
+        members = alive(rest.select("shingle", "text_key", "n", "place", (F.col("open") & F.col("settled").isNull()).alias("open")))
         leads *= 4
     return reduce(DataFrame.unionByName, found) if found else texts.limit(0).select("text_key", F.col("text_key").alias("lead"), F.col("shared").alias("spread"))
 
@@ -192,48 +286,37 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def copied_texts(table: DataFrame, least_words: int = 20) -> DataFrame:
     """Keys of texts that two repos or a library hold, alike or nearly, and of near copies of those in a repo: (text_key).
 
+    ``table`` has rows of (scope, text_key, n_words, shingles, signature), where a null scope is a library.
     Identical texts are collapsed first, of any length that has words; near copies are sought from ``least_words`` on.
     """
     texts = materialize(
         table.where("n_words > 0").groupBy("text_key")
-        .agg(F.min("repo").alias("repo"), F.max("repo").alias("high"), F.max(F.col("repo").isNull()).alias("library"), F.first("shingles").alias("shingles"), F.max("n_words").alias("n_words"))
-        .select("text_key", "repo", (F.col("library") | (F.col("repo") != F.col("high"))).alias("shared"), "shingles", "n_words"),
+        .agg(F.min("scope").alias("repo"), F.max("scope").alias("high"), F.max(F.col("scope").isNull()).alias("library"), F.first("signature").alias("signature"), F.max("n_words").alias("n_words"), F.min("row_no").alias("row_no"))
+        .select("text_key", "repo", (F.col("library") | (F.col("repo") != F.col("high"))).alias("shared"), "signature", "n_words", "row_no"),
         "texts",
     )
-    near = near_pairs(texts.where(F.col("n_words") >= least_words).drop("n_words"))
+    long = texts.where(F.col("n_words") >= least_words)
+    # one row of each text gives its shingles; the others are left where they are
+    shingles = table.select("text_key", "row_no", "shingles").join(long.select("row_no"), "row_no", "left_semi").drop("row_no")
+    near = near_pairs(long.drop("n_words", "row_no"), shingles)
     spread = materialize(texts.where("shared").select("text_key").unionByName(_ends(near.where("spread"))).distinct(), "spread")
     inner = near.where("not spread").select(F.explode(F.array(F.struct("text_key", F.col("lead").alias("by")), F.struct(F.col("lead").alias("text_key"), F.col("text_key").alias("by")))).alias("p")).select("p.*")
     return inner.join(spread.withColumnRenamed("text_key", "by"), "by", "left_semi").select("text_key").unionByName(spread).distinct()
 
 
-def _findings() -> dict[str, Column]:
-    """What a file's own text and name show; each pattern is matched once."""
-    n = F.greatest(F.length("file_text"), F.lit(1))
-    line = n / F.greatest(F.regexp_count("file_text", F.lit(r"(?m)^[^\n]*\S")), F.lit(1))
-    solid = F.length(F.regexp_replace("file_text", r"\s+", ""))
-    # escapes go first, so that no pattern needs a repeated group (the JVM matches those by recursion)
-    unescaped = F.regexp_replace("file_text", r"(?s)\\.", "")
-    literals = F.regexp_replace(unescaped, r"(?s)\"\"\".*?\"\"\"|`[^`]*`|r#\".*?\"#|\"[^\"\n]*\"|'[^'\n]*'|\b0x[0-9A-Fa-f]+", "")
-    bare = F.length(F.regexp_replace(literals, r"[\d\s,;:.\[\](){}=+-]+", "")) / n
-    name = F.element_at(F.split("source_file", "/"), -1)
-    return {
-        "marked": F.col("file_text").rlike(GENERATED), "own": F.col("file_text").rlike(OWN) & ~F.col("file_text").rlike(_OWN_NOT), "taken": F.col("file_text").rlike(VENDORED),
-        "line": line, "solid": solid, "bare": bare, "n": n,
-        "tool_name": F.coalesce(name.rlike(_GENERATED_NAME), F.lit(False)), "short_name": F.coalesce(name.rlike(_MINIFIED_NAME), F.lit(False)),
-    }
-
-
 def _log_evidence() -> list[Column]:
     """Log likelihood of a file's findings under each kind."""
     col = F.col
+    name = F.element_at(F.split("source_file", "/"), -1)
+    tool_name, short_name = (F.coalesce(name.rlike(p), F.lit(False)) for p in (_GENERATED_NAME, _MINIFIED_NAME))
     dense = (col("line") > 80) & (col("solid") > 0.9 * col("n")) & (col("bare") > 0.3)
     data = (col("bare") < 0.08) & (col("solid") > 20)
     regular = col("regular") > 0.6
     at = lambda c, yes, no=0.0: F.when(c, F.lit(float(yes))).otherwise(F.lit(float(no)))
-    hand = at(col("own"), 3) + at(col("marked"), -5) + at(col("taken"), -4) + at(dense, -5) + at(data, -5) + at(regular, -5) + at(col("copied"), -5)
-    generated = at(col("marked") | regular, 5, -2) + at(col("marked") & regular, 1) + at(col("tool_name"), 1.5) + at(col("own"), -2)
-    minified = at(dense, 6, -5) + at(col("short_name"), 1.5)
-    vendored = at(col("copied"), 5, -1.5) + at(col("taken"), 4, -1) + at(col("own"), -2)
+    hand = at(col("marked"), -5) + at(col("taken"), -4) + at(dense, -5) + at(data, -5) + at(regular, -5) + at(col("copied"), -5)
+    generated = at(col("marked") | regular, 5, -2) + at(col("marked") & regular, 1) + at(tool_name, 1.5)
+    minified = at(dense, 6, -5) + at(short_name, 1.5)
+    vendored = at(col("copied"), 5, -1.5) + at(col("taken"), 4, -1)
     blob = at(data, 6, -3)
     return [x.alias(k) for x, k in zip([hand, generated, minified, vendored, blob], KINDS, strict=True)]
 
@@ -248,7 +331,9 @@ def _message(prefix: str = "") -> list[Column]:
 
 
 def propagate(files: DataFrame) -> DataFrame:
-    """(repo, source_file, kind, handwritten .. blob) from files with a ``folder`` and log evidence per kind.
+    """(repo, source_file, kind, handwritten .. blob) from files with a ``scope``, a ``folder`` and log evidence per kind.
+
+    ``scope`` stands for the repo and is never null; ``folder`` has no empty part, so every folder is at one depth.
 
     One step per level of the deepest tree, each over that level's folders alone. A folder with any
     number of files is summed before the shuffle; on the way down its files join it by :func:`join_groups`.
@@ -258,7 +343,7 @@ def propagate(files: DataFrame) -> DataFrame:
     for kind, pattern, value in FOLDERS:
         weak[kind] = weak[kind] + F.when(name.rlike(pattern), value).otherwise(0.0)
     sums = [F.sum(k).alias(k) for k in KINDS]
-    up = files.select("repo", "folder", *_message()).groupBy("repo", "folder").agg(*sums, F.count(F.lit(1)).alias("size"))
+    up = files.select("scope", "folder", *_message()).groupBy("scope", "folder").agg(*sums, F.count(F.lit(1)).alias("size"))
     depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
     folders = materialize(up.withColumn("depth", depth), "folders")
     deepest = folders.agg(F.max("depth")).first()[0] or 0
@@ -268,21 +353,21 @@ def propagate(files: DataFrame) -> DataFrame:
     for level in range(deepest, -1, -1):
         own = folders.where(F.col("depth") == level).drop("depth")
         if rising is not None:
-            own = own.unionByName(rising.select("repo", F.col("parent").alias("folder"), *KINDS, F.lit(0).cast("bigint").alias("size")))
-        summed = own.groupBy("repo", "folder").agg(*sums, F.sum("size").alias("size")).withColumns({k: F.col(k) + weak[k] for k in KINDS})
+            own = own.unionByName(rising.select("scope", F.col("parent").alias("folder"), *KINDS, F.lit(0).cast("bigint").alias("size")))
+        summed = own.groupBy("scope", "folder").agg(*sums, F.sum("size").alias("size")).withColumns({k: F.col(k) + weak[k] for k in KINDS})
         said = [m.alias(f"up_{k}") for m, k in zip(_message(), KINDS, strict=True)]
-        levels[level] = materialize(summed.select("repo", "folder", parent.alias("parent"), "size", *KINDS, *said), "level")
-        rising = levels[level].select("repo", "parent", *[F.col(f"up_{k}").alias(k) for k in KINDS])
-    beliefs = levels[0].select("repo", "folder", "size", *[(F.col(k) + math.log(p)).alias(k) for k, p in zip(KINDS, PRIOR, strict=True)])
+        levels[level] = materialize(summed.select("scope", "folder", parent.alias("parent"), "size", *KINDS, *said), "level")
+        rising = levels[level].select("scope", "parent", *[F.col(f"up_{k}").alias(k) for k in KINDS])
+    beliefs = levels[0].select("scope", "folder", "size", *[(F.col(k) + math.log(p)).alias(k) for k, p in zip(KINDS, PRIOR, strict=True)])
     done = beliefs
     for level in range(1, deepest + 1):
-        above = beliefs.select("repo", F.col("folder").alias("parent"), *[F.col(k).alias(f"above_{k}") for k in KINDS])
-        joined = levels[level].join(above, ["repo", "parent"]).withColumns({f"down_{k}": F.col(f"above_{k}") - F.col(f"up_{k}") for k in KINDS})
+        above = beliefs.select("scope", F.col("folder").alias("parent"), *[F.col(k).alias(f"above_{k}") for k in KINDS])
+        joined = levels[level].join(above, ["scope", "parent"]).withColumns({f"down_{k}": F.col(f"above_{k}") - F.col(f"up_{k}") for k in KINDS})
         heard = [m.alias(f"heard_{k}") for m, k in zip(_message("down_"), KINDS, strict=True)]
-        beliefs = materialize(joined.select("repo", "folder", "size", *KINDS, *heard).select("repo", "folder", "size", *[(F.col(k) + F.col(f"heard_{k}")).alias(k) for k in KINDS]), "beliefs")
+        beliefs = materialize(joined.select("scope", "folder", "size", *KINDS, *heard).select("scope", "folder", "size", *[(F.col(k) + F.col(f"heard_{k}")).alias(k) for k in KINDS]), "beliefs")
         done = done.unionByName(beliefs)
-    said = files.select("repo", "source_file", "folder", *KINDS, *[m.alias(f"up_{k}") for m, k in zip(_message(), KINDS, strict=True)])
-    joined = join_groups(said, materialize(done.select("repo", "folder", "size", *[F.col(k).alias(f"above_{k}") for k in KINDS]), "tree"), ["repo", "folder"])
+    said = files.select("scope", "repo", "source_file", "folder", *KINDS, *[m.alias(f"up_{k}") for m, k in zip(_message(), KINDS, strict=True)])
+    joined = join_groups(said, materialize(done.select("scope", "folder", "size", *[F.col(k).alias(f"above_{k}") for k in KINDS]), "tree"), ["scope", "folder"])
     joined = joined.withColumns({f"down_{k}": F.col(f"above_{k}") - F.col(f"up_{k}") for k in KINDS})
     heard = [m.alias(f"heard_{k}") for m, k in zip(_message("down_"), KINDS, strict=True)]
     posterior = joined.select("repo", "source_file", *KINDS, *heard).select("repo", "source_file", *[(F.col(k) + F.col(f"heard_{k}") + math.log(p)).alias(k) for k, p in zip(KINDS, PRIOR, strict=True)])
@@ -292,19 +377,24 @@ def propagate(files: DataFrame) -> DataFrame:
 
 
 def file_evidence(files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """The written table of files with log evidence per kind: (repo, source_file, folder, copied, regular, handwritten .. blob)."""
-    own = materialize(latest_files(files), "files")
-    known = libraries.where("file_text is not null").select(F.lit(None).cast("string").alias("repo"), F.col("file_name").alias("source_file"), "file_text")
-    given = own.select(F.coalesce("repo", F.lit("")).alias("repo"), "source_file", "file_text").unionByName(known)
-    table = materialize(given.mapInArrow(_features, "repo string, source_file string, text_key string, n_words int, shingles array<bigint>, regular double"), "features")
-    copied = materialize(copied_texts(table), "copied")
-    sized = materialize(table.where("repo is not null").groupBy("text_key").agg(F.count(F.lit(1)).alias("size")).join(copied.withColumn("found", F.lit(True)), "text_key", "left").select("text_key", "size", F.coalesce("found", F.lit(False)).alias("copied")), "copied_sizes")
-    looked = join_groups(table.where("repo is not null").select("repo", "source_file", "text_key", "regular"), sized, ["text_key"])
-    looked = looked.select(F.col("repo").alias("key_repo"), F.col("source_file").alias("key_file"), "copied", "regular")
-    joined = own.join(looked, (F.coalesce("repo", F.lit("")) == F.col("key_repo")) & F.col("source_file").eqNullSafe(F.col("key_file")))
-    folder = F.when(F.col("source_file").contains("/"), F.regexp_replace("source_file", "/[^/]*$", "")).otherwise("")
-    found = joined.select("repo", "source_file", folder.alias("folder"), "copied", "regular", *[x.alias(k) for k, x in _findings().items()])
-    return materialize(found.select("repo", "source_file", "folder", "copied", "regular", *_log_evidence()), "evidence")
+    """The written table of files with log evidence per kind: (scope, repo, source_file, folder, copied, regular, handwritten .. blob)."""
+    none = F.lit(None).cast("string")
+    scope = F.coalesce(F.concat(F.lit("repo "), F.col("repo")), F.lit("no repo"))
+    own = files.where("file_text is not null").select(scope.alias("scope"), "repo", "source_file", F.col("modified_at").cast("timestamp").alias("modified_at"), "file_text")
+    known = libraries.where("file_text is not null").select(none.alias("scope"), none.alias("repo"), F.col("file_name").alias("source_file"), F.lit(None).cast("timestamp").alias("modified_at"), "file_text")
+    table = materialize(own.unionByName(known).mapInArrow(_features, _FEATURES).withColumn("row_no", F.monotonically_increasing_id()), "features")
+    findings = ["text_key", "regular", "n", "line", "solid", "bare", "marked", "taken"]
+    last = table.where("scope is not null").groupBy("scope", "repo", "source_file").agg(F.max(F.struct("modified_at", *findings, "row_no")).alias("row"))
+    standing = materialize(last.select("scope", "repo", "source_file", *[F.col(f"row.{c}").alias(c) for c in [*findings, "row_no"]]), "standing")
+    kept = table.select("scope", "text_key", "n_words", "shingles", "signature", "row_no")
+    compared = kept.where("scope is null").unionByName(kept.where("scope is not null").join(standing.select("row_no"), "row_no", "left_semi"))
+    copied = materialize(copied_texts(compared).withColumn("found", F.lit(True)), "copied")
+    sized = standing.groupBy("text_key").agg(F.count(F.lit(1)).alias("size")).join(copied, "text_key", "left")
+    sized = materialize(sized.select("text_key", "size", F.coalesce("found", F.lit(False)).alias("copied")), "copied_sizes")
+    path = F.regexp_replace(F.regexp_replace("source_file", r"^(?:\.?/)+", ""), r"/(?:\.?/)+", "/")
+    folder = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    looked = join_groups(standing, sized, ["text_key"])
+    return materialize(looked.select("scope", "repo", "source_file", folder.alias("folder"), "copied", "regular", *_log_evidence()), "evidence")
 
 
 def file_kinds(files: DataFrame, libraries: DataFrame) -> DataFrame:
