@@ -37,7 +37,7 @@ def shortened(name: Column, most: int, joint: str) -> Column:
 
 def file_name(label: Column, most: int = 200) -> Column:
     """A file name without forbidden characters; 'unnamed' where nothing is left. Composed and decomposed letters stay as they are."""
-    name = F.trim(F.regexp_replace(label, _NOT_IN_NAMES, ""))
+    name = F.regexp_replace(F.regexp_replace(label, _NOT_IN_NAMES, ""), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     return shortened(F.when(name == "", "unnamed").otherwise(name), most, "_")
 
 

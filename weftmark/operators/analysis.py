@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .graph import REASONING, STRUCTURAL, Graph, described, merged_links, pairs, whole_links
 
 
@@ -122,27 +125,29 @@ def contradictions(graph: Graph) -> DataFrame:
 
 
 def supersession_chains(graph: Graph) -> DataFrame:
-    """Paths of supersedes links from a node that nothing supersedes to one that supersedes nothing.
+    """The longest chain of supersedes links from each node that nothing supersedes to each end it reaches, the least by ids among equals.
 
-    Each round extends all open paths by one link; a node already on the path is not entered again, so the
-    rounds end.
+    (repo, path, n_nodes). An end supersedes nothing. Each round follows all chains by one link and keeps
+    one per root and node, so the rounds hold pairs of root and node, not paths: where chains part and
+    meet again, their ways do not multiply. A node already on the chain is not entered again.
     """
-    from ..plans.scratch import materialize
-
     step = trusted(graph.links, "supersedes").where("source <> target").select("repo", "source", "target").distinct()
     step = materialize(step, "supersedes")
-    roots = step.select("repo", F.col("source").alias("id")).distinct().join(step.select("repo", F.col("target").alias("id")).distinct(), ["repo", "id"], "left_anti")
-    open_paths = materialize(roots.select("repo", F.col("id").alias("last"), F.array("id").alias("path")), "paths")
-    done = None
+    ends = materialize(step.select("repo", F.col("target").alias("last")).distinct().join(step.select("repo", F.col("source").alias("last")), ["repo", "last"], "left_anti"), "ends")
+    roots = step.select("repo", F.col("source").alias("root")).distinct().join(step.select("repo", F.col("target").alias("root")), ["repo", "root"], "left_anti")
+    chains = roots.select("repo", "root", F.col("root").alias("last"), F.array("root").alias("path"))
+    done: list[DataFrame] = []
     while True:
-        onward = open_paths.join(step.withColumnRenamed("source", "last"), ["repo", "last"], "left").withColumn("ends", F.col("target").isNull())
-        onward = materialize(onward.where(F.col("ends") | ~F.array_contains("path", F.coalesce("target", F.lit("")))).select("repo", "path", "target", "ends"), "paths")
-        closed = onward.where("ends").select("repo", "path")
-        done = closed if done is None else done.unionByName(closed)
-        open_paths = onward.where("not ends").select("repo", F.col("target").alias("last"), F.array_append("path", F.col("target")).alias("path"))
-        if open_paths.isEmpty():
+        onward = chains.join(step.withColumnRenamed("source", "last"), ["repo", "last"]).where(~F.array_contains("path", F.col("target")))
+        chains = onward.groupBy("repo", "root", F.col("target").alias("last")).agg(F.min(F.array_append("path", F.col("target"))).alias("path"))
+        chains = materialize(chains, "chains")
+        if chains.isEmpty():
             break
-    return done.select("repo", F.array_join("path", " > ").alias("path"), F.size("path").alias("n_nodes"))
+        done.append(chains.join(ends, ["repo", "last"], "left_semi"))
+    if not done:
+        return roots.select("repo", F.col("root").alias("path"), F.lit(0).alias("n_nodes")).limit(0)
+    longest = reduce(DataFrame.unionByName, done).groupBy("repo", "root", "last").agg(F.max(F.struct(F.size("path").alias("n_nodes"), "path")).alias("c"))
+    return longest.select("repo", F.array_join("c.path", " > ").alias("path"), "c.n_nodes")
 
 
 def top_terms(graph: Graph, top: int = 3) -> DataFrame:

@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import broadcast_if_small, materialize
+from ..plans.scratch import broadcast_if_small, fits_broadcast, materialize
 from ..plans.skew import join_groups
 from .analysis import membership, nearest_hosts
 from .graph import Graph, incident, kept_links, pairs, whole_links
 from .history import standing_nodes
 
 
-def _moved(edges: DataFrame, state: DataFrame, guard: int = 10_000) -> DataFrame:
-    """Rounds of moves until no node gains by one: each joins the neighbouring community of greatest gain in modularity.
+def _moved(edges: DataFrame, state: DataFrame, least_gain: float, guard: int = 10_000) -> DataFrame:
+    """Rounds of moves until a scope's nodes could gain less than ``least_gain`` of modularity by one more move each.
 
-    Weights are whole numbers, so gains are exact. About half of the nodes, another half every round,
-    may move at a time: neighbours that move at once would chase each other.
+    Each node joins the neighbouring community of greatest gain. Weights are whole numbers, so gains are
+    exact. About half of the nodes, another half every round, may move at a time: neighbours that move
+    at once would chase each other. A scope that has come to rest takes no part in later rounds.
     """
+    few = fits_broadcast(materialize(state.select("scope").distinct(), "scopes"))
+    chosen = lambda df, scopes: df.join(F.broadcast(scopes) if few else scopes, "scope", "left_semi")
+    rested: list[DataFrame] = []
     for at in range(guard):
-        near = edges.join(state.select("scope", F.col("id").alias("other"), "label"), ["scope", "other"]).select("scope", "id", "label", "k", "two_m", "w", F.lit(False).alias("home"))
+        there = state.select("scope", F.col("id").alias("other"), "label")
+        near = edges.join(there, ["scope", "other"]).select("scope", "id", "label", "k", "two_m", "w", F.lit(False).alias("home"))
         stay = state.select("scope", "id", "label", "k", "two_m", F.lit(0).cast("bigint").alias("w"), F.lit(True).alias("home"))
         near = near.unionByName(stay).groupBy("scope", "id", "label", "k", "two_m").agg(F.sum("w").alias("w"), F.max("home").alias("home"))
         total = state.groupBy("scope", "label").agg(F.sum("k").alias("total"))
         loss = F.col("k") * (F.col("total") - F.when(F.col("home"), F.col("k")).otherwise(0)) - F.col("two_m") * F.col("w")
-        best = near.join(total, ["scope", "label"]).groupBy("scope", "id", "k", "two_m").agg(F.min(F.struct(loss.alias("loss"), (~F.col("home")).alias("away"), "label"))["label"].alias("best"), F.max(F.when(F.col("home"), F.col("label"))).alias("own"))
+        best = near.join(total, ["scope", "label"]).withColumn("loss", loss).groupBy("scope", "id", "k", "two_m").agg(
+            F.min(F.struct("loss", (~F.col("home")).alias("away"), "label")).alias("best"),
+            F.max(F.when(F.col("home"), F.struct("label", "loss"))).alias("own"),
+        )
         turn = F.pmod(F.xxhash64("id", F.lit(at)), F.lit(2)) == 0
-        moved = best.select("scope", "id", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("label"), "k", "two_m", (F.col("best") != F.col("own")).alias("restless"))
-        moved = materialize(moved, "labels")
-        state = moved.drop("restless")
-        if moved.where("restless").isEmpty():
-            return state
+        label = F.when(turn, F.col("best.label")).otherwise(F.col("own.label")).alias("label")
+        moved = materialize(best.select("scope", "id", label, "k", "two_m", (F.col("own.loss") - F.col("best.loss")).alias("gain")), "labels")
+        # a node's gain in modularity is twice its gain in loss over the squared weight of the scope
+        gain = 2 * F.sum("gain").cast("double") / (F.max("two_m").cast("double") * F.max("two_m"))
+        scopes = materialize(moved.groupBy("scope").agg((gain < least_gain).alias("rests")), "scopes")
+        moved = moved.drop("gain")
+        rested.append(chosen(moved, scopes.where("rests").select("scope")))
+        active = scopes.where("not rests").select("scope")
+        if active.isEmpty():
+            return materialize(reduce(DataFrame.unionByName, rested), "rested")
+        state = chosen(moved, active)
     raise RuntimeError(f"nodes still move after {guard} rounds")
 
 
-def partition(edges: DataFrame) -> DataFrame:
+def partition(edges: DataFrame, least_gain: float = 1e-4) -> DataFrame:
     """(scope, id, label) of the nodes at ``edges`` (scope, id, other, w), given in both directions without loops.
 
     After each level of moves the communities become the nodes of a smaller graph and move in turn,
@@ -51,7 +67,7 @@ def partition(edges: DataFrame) -> DataFrame:
     weighed = lambda df, s: materialize(df.join(s.select("scope", "id", "k", "two_m"), ["scope", "id"]), "weighed")
     edges = weighed(plain, state)
     while True:
-        state = _moved(edges, state)
+        state = _moved(edges, state, least_gain)
         lead = state.select("scope", F.col("id").alias("label"), F.col("label").alias("lead"))
         member = materialize(member.join(lead, ["scope", "label"]).select("scope", "id", F.col("lead").alias("label")), "members")
         if state.select("scope", "label").distinct().count() == state.count():

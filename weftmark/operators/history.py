@@ -17,6 +17,12 @@ def standing_nodes(nodes: DataFrame, fields: list[str], also: list[str] | None =
     return rows.select("repo", "snapshot_no", "id", *[F.col(f"row.{c}").alias(c) for c in [*fields, *(also or [])]])
 
 
+def merged_fields(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """Every (repo, id) once, each field from the latest load that has it, and the number of snapshots that hold it."""
+    latest = [F.max(F.when(F.col(c).isNotNull(), F.struct("loaded_at", c))).getField(c).alias(c) for c in fields]
+    return nodes.where("id is not null").groupBy("repo", "id").agg(*latest, F.count_distinct("snapshot_no").alias("n_snapshots"))
+
+
 def entity_trace(nodes: DataFrame) -> DataFrame:
     """Per node: first and last snapshot, how many hold it, and how many communities it was in (none counts as one)."""
     rows = standing_nodes(nodes, ["community"])

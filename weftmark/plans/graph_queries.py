@@ -300,7 +300,25 @@ def _chain(column: str, patterns: list[str], by: str) -> str:
 
 _NAMES = " || ".join(f"case when regexp_matches({_chain('t', [p for _, p in _SECRET[:i]], '[REDACTED]')}, '{_SECRET[i][1]}') then '{_SECRET[i][0]},' else '' end" for i in range(len(_SECRET)))
 
+#: What declares and imports in the languages of the tables, as the comparison states it; names come from the first group that is not empty.
+_SYMBOLS = r"""with pat(lang, kind, p) as (values
+('py', 'class', '^\s*class\s+(\w+)()'), ('py', 'function', '^\s*(?:async\s+)?def\s+(\w+)()'), ('py', 'import', '^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))'),
+('js', 'class', '^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)()'), ('js', 'function', '^\s*(?:export\s+)?(?:async\s+)?(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:async\s*)?\()'), ('js', 'import', '(?:from\s+|require\()["'']([^"'']+)["'']()'),
+('java', 'class', '^\s*(?:public\s+|final\s+|abstract\s+)*(?:class|interface)\s+(\w+)()'), ('java', 'function', '^\s+(?:public|private|protected|static|final|\s)*[\w<>\[\]]+\s+(\w+)\s*\([^;]*(?:\{|;)\s*$()'), ('java', 'import', '^\s*import\s+([\w.]+)()'),
+('go', 'class', '^type\s+(\w+)()'), ('go', 'function', '^func\s+(?:\([^)]*\)\s*)?(\w+)()'), ('go', 'import', '^\s*(?:import\s+)?"([\w./]+)"\s*$()'),
+('rs', 'class', '^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)()'), ('rs', 'function', '^\s*(?:pub\s+)?fn\s+(\w+)()'), ('rs', 'import', '^\s*use\s+([\w:]+)()'),
+('c', 'class', '^\s*struct\s+(\w+)\s*\{()'), ('c', 'function', '^(?:static\s+)?[\w\s*]+?\b(\w+)\s*\([^;]*\)\s*\{?\s*$()'), ('c', 'import', '^\s*#include\s+[<"]([^>"]+)[>"]()'),
+('rb', 'class', '^\s*(?:class|module)\s+(\w+)()'), ('rb', 'function', '^\s*def\s+(?:self\.)?(\w+)()'), ('rb', 'import', '^\s*require(?:_relative)?\s+["'']([^"'']+)["'']()')),
+f as (select distinct repo, source_file, file_text, lower(regexp_extract(source_file, '\.([^./]+)$', 1)) as suffix from source_files where file_type = 'code' and file_text is not null),
+ln as (select repo, source_file, suffix, case when suffix in ('ts', 'tsx', 'jsx', 'vue', 'svelte') then 'js' when suffix in ('h', 'cpp', 'cc', 'cxx', 'hpp') then 'c' else suffix end as lang, unnest(regexp_split_to_array(file_text, '\r\n|\n|\r')) as line from f),
+sy as (select repo, source_file, suffix, kind, coalesce(nullif(regexp_extract(line, p, 1), ''), nullif(regexp_extract(line, p, 2), '')) as name from ln join pat using (lang)),
+sk as (select * from sy where name is not null and name not in ('if', 'for', 'while', 'switch', 'return', 'catch', 'else', 'sizeof'))
+"""
+
 SQL = {
+    "code_symbols": _SYMBOLS + "select suffix, kind, count(*) as n_symbols from sk group by all",
+    "import_components": _SYMBOLS.replace("with pat", "with recursive pat", 1) + ", li as (select distinct repo, source_file as s, name as t from sk where kind = 'import'), st as (select repo, s as id, t as other from li union select repo, t, s from li), r as (select repo, id, other as reach from st union select repo, id, id from st union select r.repo, r.id, st.other from r join st on st.repo = r.repo and st.id = r.reach) "
+    "select repo, component, count(*) as n_members from (select repo, id, min(reach) as component from r group by all) group by all",
     "hub_nodes": _BASE + "select repo, rank, id, label, degree from hub where rank <= 10",
     "graph_stats": _BASE + "select n.repo, n_nodes, n_links, n_ambiguous, n_inferred, n_extracted, n_closed from (select repo, count(*) as n_nodes from n group by repo) n left join (select repo, count(*) as n_links, count(*) filter (confidence = 'AMBIGUOUS') as n_ambiguous, count(*) filter (confidence = 'INFERRED') as n_inferred, count(*) filter (confidence = 'EXTRACTED') as n_extracted, count(valid_until) as n_closed from w group by repo) l using (repo)",
     "node_degree": _BASE + "select repo, id, degree from deg",
@@ -328,7 +346,7 @@ select repo, id, ['isolated', 'thin_community', 'high_ambiguity_context'][min(r)
     "contradictions": _BASE + "select repo, least(source, target) as lo, greatest(source, target) as hi, max(confidence_score) as score from w where relation = 'contradicts' and (confidence = 'EXTRACTED' or confidence_score >= 0.5) group by all",
     "supersession_chains": _BASE + """, st as (select distinct repo, source, target from w where relation = 'supersedes' and source <> target and (confidence = 'EXTRACTED' or confidence_score >= 0.5)),
 p as (select distinct repo, source as last, [source] as path from st where not exists (select 1 from st x where x.repo = st.repo and x.target = st.source) union all select p.repo, target, list_append(path, target) from p join st on st.repo = p.repo and st.source = p.last where not list_contains(path, target))
-select repo, array_to_string(path, ' > ') as path, len(path)::int as n_nodes from p where not exists (select 1 from st where st.repo = p.repo and st.source = p.last)""",
+select repo, array_to_string(path, ' > ') as path, len(path)::int as n_nodes from (select *, row_number() over (partition by repo, path[1], last order by len(path) desc, path) as r from p where len(path) > 1 and not exists (select 1 from st where st.repo = p.repo and st.source = p.last)) where r = 1""",
     "top_terms": _BASE + ", t as (select repo, community, greatest(degree, 1) as weight, unnest(list_distinct(list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: length(x) > 2))) as term from k where community is not null) select repo, community, rank, term, weight from (select *, row_number() over (partition by repo, community order by weight desc, term) as rank from (select repo, community, term, sum(weight)::bigint as weight from t group by all)) where rank <= 3",
     "hub_reach": _levels("step as (select repo, id, other from inc)", 3),
     "hub_ego": _BASE + ", e as (select repo, id from hub1 union select inc.repo, other from inc join hub1 using (repo, id)) select * from u where exists (select 1 from e where e.repo = u.repo and e.id = lo) and exists (select 1 from e where e.repo = u.repo and e.id = hi)",

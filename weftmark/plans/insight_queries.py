@@ -191,6 +191,11 @@ select qt.repo, question, query_tokens, corpus_tokens, corpus_tokens / query_tok
     "link_drift": _MATCH + ", e as (select o.repo, o.id, case when l.new_community is null then 2 when l.new_community = nc and oc = nc then 0 else 1 end as r from old o join new x on x.repo = o.repo and x.id = o.id left join mt l on l.repo = o.repo and l.old_community = oc) select g.repo, source, target, relation, case when a.r is null or b.r is null then 'orphaned' when greatest(a.r, b.r) = 2 then 'community-resharded' when greatest(a.r, b.r) = 1 then 'community-renamed' else 'stable' end as drift from (select distinct repo, source, target, relation from graph_links where source is not null and target is not null and relation in ('implements', 'documents', 'tests')) g left join e a on a.repo = g.repo and a.id = source left join e b on b.repo = g.repo and b.id = target",
     "community_pages": _BASE + ", z as (select repo, community, count(*) as size from c group by all), y as (select repo, lo_community as community, hi_community as host, n_links from ic union all select repo, hi_community, lo_community, n_links from ic), h as (select * from (select y.*, row_number() over (partition by y.repo, y.community order by n_links desc, b.size desc, host) as r from y join z b on b.repo = y.repo and b.community = y.host and b.size >= 6) where r = 1) select z.repo, z.community, z.size as n_nodes, case when z.size >= 6 then z.community else coalesce(host, -1) end as page from z left join h on h.repo = z.repo and h.community = z.community",
     "community_signatures": _BASE + "select repo, community, count(*) as n_nodes, sum(('0x' || substring(md5(id), 1, 8))::bigint)::bigint as signature from c group by all",
+    "dependency_layers": """with recursive st as (select distinct repo, source as id, target as other from graph_links where source is not null and target is not null and relation in ('depends_on', 'imports', 'imports_from')),
+nd as (select repo, id from st union select repo, other from st), rc as (select repo, id as a, other as b from st union select rc.repo, rc.a, st.other from rc join st on st.repo = rc.repo and st.id = rc.b),
+loops as (select repo, a from rc where a = b), bad as (select repo, a as id from loops union select rc.repo, rc.b from rc join loops on loops.repo = rc.repo and loops.a = rc.a),
+wk as (select repo, id, 0 as l from nd where not exists (select 1 from st where st.repo = nd.repo and st.other = nd.id) union select wk.repo, st.other, l + 1 from wk join st on st.repo = wk.repo and st.id = wk.id where not exists (select 1 from bad where bad.repo = st.repo and bad.id = st.other))
+select nd.repo, nd.id, max(l)::int as layer from nd left join wk on wk.repo = nd.repo and wk.id = nd.id group by all""",
     "link_heat": _BASE + """, a as (select repo, least(from_id, to_id) as lo, greatest(from_id, to_id) as hi, count(*) as n_walks from agent_edges where from_id is not null and to_id is not null group by all),
 x as (select repo, list_sort(list(n_walks)) as l, count(*) as n from a group by repo), j as (select *, least(greatest((n + 1) // 10, 1), greatest(n - 1, 1)) as j1, least(greatest(9 * (n + 1) // 10, 1), greatest(n - 1, 1)) as j9 from x),
 t as (select repo, case when n < 10 then l[1] * 10 else l[j1] * (10 - (n + 1 - j1 * 10)) + l[j1 + 1] * (n + 1 - j1 * 10) end as cold, case when n < 10 then l[n] * 10 else l[j9] * (10 - (9 * (n + 1) - j9 * 10)) + l[j9 + 1] * (9 * (n + 1) - j9 * 10) end as hot from j)

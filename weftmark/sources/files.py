@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def skip_reason(path: Column) -> Column:
     return F.when(noisy, "noise-dir").when(path.rlike(SENSITIVE), "sensitive").when(file_kind(path).isNull(), "unknown-kind")
 
 
+def _glob(pattern: str) -> str:
+    """A pattern of names as a regular expression: * any characters, ? one, [...] one of several."""
+    parts = {"*": ".*", "?": "."}
+    return "".join(parts.get(c, c if c in "[]" else re.escape(c)) for c in pattern.replace("[!", "[^")).replace(r"\^", "^")
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether a pattern fits the whole path, one of its names, or its beginning up to a name; slashes around a pattern do not count."""
+    globs = [_glob(p.strip("/")) for p in patterns if p.strip("/")]
+    if not globs:
+        return F.lit(False)
+    parts = F.split(path, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    fits = f"^(?s:{'|'.join(globs)})$"
+    return F.exists(F.concat(parts, heads), lambda x: x.rlike(fits))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, modified_at, size, kind, skip_reason) of all files under a folder; contents stay unread until asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
