@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.problems import newest_nodes
+from ..plans.scratch import materialize
 from ..sources.tables import load
 from . import encode, format_duplicates, handwritten, packing, reading_level
 
@@ -70,6 +71,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the windows of each kind: every document is in, no token is lost or added, no window is over capacity, no place is taken twice."""
+    capacities = _windows(spark, d)
+    sizes = materialize(encode.token_counts(load(spark, d, "documents")), "sizes")
+    placed = materialize(packing.pack(sizes, capacities), "placed")
+    room = F.create_map(*[F.lit(x) for w, c in capacities.items() for x in (w, c)])
+    windows = placed.where("window_no is not null").groupBy("window_id", "window_no").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.count_distinct("position").alias("places"))
+    faults = windows.groupBy("window_id").agg(F.count(F.when(F.col("n") > room[F.col("window_id")], 1)).alias("n_over"), F.sum(F.col("k") - F.col("places")).alias("n_twice"))
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    given = placed.groupBy("window_id").agg(F.count(F.when(F.col("piece_no") == 0, 1)).alias("n_documents"), F.sum("n_tokens").alias("n"))
+    lost = given.withColumn("n_lost", F.lit(total) - F.col("n"))
+    return lost.join(faults, "window_id", "left").select("window_id", "n_documents", "n_lost", F.coalesce("n_over", F.lit(0)).alias("n_over"), F.coalesce("n_twice", F.lit(0)).alias("n_twice"))
+
+
 def _bands(spark: SparkSession, d: str) -> DataFrame:
     prose = load(spark, d, "documents").where(~F.col("file_type").eqNullSafe("code"))
     return reading_level.reading_bands(prose, load(spark, d, "reading_samples"))
@@ -80,7 +95,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _bands(spark, d).select("doc_id", "reading_band")
 
 
-QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p7_sound": p7_sound, "p8_found": p8_found}
 
 _PLAIN = r"regexp_replace(lower(upper(coalesce({}, ''))), '[\p{{P}}\p{{Z}}\s\x{{85}}\x{{1c}}-\x{{1f}}\x{{0b}}]+', '', 'g')"
 _P5_ROWS = f"""
@@ -94,4 +109,6 @@ g as (select *, min(id) over (partition by in_table, repo, c1, c2, c3, c4) as fi
 _P5 = _P5_ROWS + "select in_table, repo, first_id, id as copy_id from g where id <> first_id"
 _P5_COUNTS = _P5_ROWS + "select in_table, repo, first_id, count(*) as n_copies from g group by all"
 
-SQL: dict[str, str] = {"p5_found": _P5, "p5_counts": _P5_COUNTS}
+_P7_SOUND = "select window_id, n_documents, 0::bigint as n_lost, 0::bigint as n_over, 0::bigint as n_twice from context_windows, (select count(*) as n_documents from documents)"
+
+SQL: dict[str, str] = {"p5_found": _P5, "p5_counts": _P5_COUNTS, "p7_sound": _P7_SOUND}
