@@ -1,5 +1,6 @@
 """Detected communities, questions, layers and walk heat against brute force on small graphs."""
 
+import random
 import statistics
 from datetime import datetime
 
@@ -62,7 +63,7 @@ def test_no_two_communities_are_left_to_merge(spark):
     """Of a long chain every two linked communities together would have less modularity than apart."""
     n = 600
     ends = [(f"n{i:04}", f"n{i + 1:04}") for i in range(n - 1)]
-    edges = spark.createDataFrame([(("r", ""), a, b, 1) for x, y in ends for a, b in ((x, y), (y, x))], "scope struct<repo: string, part: string>, id string, other string, w bigint")
+    edges = spark.createDataFrame([("r", a, b, 1) for x, y in ends for a, b in ((x, y), (y, x))], "scope string, id string, other string, w bigint")
     label = {r.id: r.label for r in communities.partition(edges).collect()}
     assert len(label) == n
     total, between = {}, {}
@@ -83,6 +84,22 @@ def test_empty_and_linkless(spark):
     assert retrieval.question_tokens(none, spark.createDataFrame([], "repo string, source_file string, file_text string")).count() == 0
 
 
+def test_both_ways_to_settle_a_repo_give_the_same(spark):
+    """Repos settled within a task and by joins over the cluster: random graphs with groups, bridges and repeated links."""
+    draw = random.Random(8)
+    rows = set()
+    for repo in ("p", "q é"):
+        ids = [f"{draw.choice('abcdé')}{i}" for i in range(40)]
+        for _ in range(120):
+            x, y = draw.choice(ids), draw.choice(ids)
+            if x != y and (x[0] == y[0] or draw.random() < 0.2):
+                rows |= {(repo, x, y, 1), (repo, y, x, 1)}
+    edges = spark.createDataFrame(sorted(rows), "scope string, id string, other string, w bigint")
+    results = [sorted(map(tuple, communities.partition(edges, small).collect())) for small in (200_000, 0)]
+    assert results[0] == results[1] and len({(s, label) for s, _, label in results[0]}) < len(results[0]) / 2
+    assert communities.partition(edges.limit(0)).count() == 0
+
+
 def test_matched_communities_and_drift(spark):
     rows = []
     for no, parts in ((1, {1: "abcd", 2: "efg", 3: "hij"}), (2, {1: "abcd", 7: "efg", 8: "hi", 9: "jkl"})):
