@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from ..plans.scratch import BucketedTable, materialize
 
 BANDS = np.arange(1, 5)
-#: How many corpus sentences an example's sentence counts as, in the mean of a word.
-CLAMP = 200.0
+#: Share of the examples in a word's difficulty, where both examples and corpus have the word. A share, not a weight a
+#: sentence, so that a corpus of any size is bound to the examples alike and the rounds do not grow with it.
+ANCHOR = 0.8
 #: Variance that is added to every word's, so that few agreeing sentences do not count without bound.
 SPREAD = 0.05
 #: A block ends after so many documents or bytes of text; one longer text is a block of its own.
@@ -140,16 +141,22 @@ def _scored_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield row, y, np.repeat(row["bands"].fill_null(0).to_numpy(), per_doc), np.where(weight > 0, difficulty, np.nan)
 
 
+_SUMS = [f"{c}_{of}" for of in ("given", "corpus") for c in ("n", "s", "ss")]
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per word of a block: number, sum and sum of squares of the difficulties of the sentences that hold it, and its own so far."""
+    """Per word of a block: number, sum and sum of squares of the difficulties of the sentences that hold it, examples apart, and its own so far."""
     for row, y, band, was in _scored_blocks(batches):
         y = np.where(band > 0, band, y)
-        of = np.repeat(~np.isnan(y), row["sizes"].to_numpy())
-        share = np.repeat(np.where(band > 0, CLAMP, 1.0), row["sizes"].to_numpy())[of]
-        at, ys = row["words"].to_numpy()[of], np.repeat(y, row["sizes"].to_numpy())[of]
-        n, s, ss = (np.bincount(at, v, len(row["vocabulary"])) for v in (share, share * ys, share * ys * ys))
-        held = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([row["vocabulary"].take(pa.array(held)), *(pa.array(x[held].astype(float)) for x in (n, s, ss)), pa.array(was[held], from_pandas=True)], names=["word", "n", "s", "ss", "was"])
+        sizes, words, size = row["sizes"].to_numpy(), row["words"].to_numpy(), len(row["vocabulary"])
+        graded, known = np.repeat(band > 0, sizes), np.repeat(~np.isnan(y), sizes)
+        y = np.repeat(y, sizes)
+        sums = []
+        for of in (known & graded, known & ~graded):
+            at, ys = words[of], y[of]
+            sums += [np.bincount(at, v, size).astype(float) for v in (np.ones(len(ys)), ys, ys * ys)]
+        held = np.flatnonzero(sums[0] + sums[3])
+        yield pa.RecordBatch.from_arrays([row["vocabulary"].take(pa.array(held)), *(pa.array(x[held]) for x in sums), pa.array(was[held], from_pandas=True)], names=["word", *_SUMS, "was"])
 
 
 class _Corpus:
@@ -160,9 +167,9 @@ class _Corpus:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.kind = texts.schema["doc"].dataType.simpleString()
         schema = f"block bigint, graded boolean, docs array<{self.kind}>, bands array<int>, sentences array<int>, sizes array<int>, words array<int>, vocabulary array<string>"
-        made = materialize(texts.select("doc", "text", "band").mapInArrow(_blocks, schema), "blocks")
-        self.blocks = BucketedTable.write(made.repartition(self.buckets, "block"), "reading_blocks", ["block"], self.buckets)
-        entries = made.select("block", F.posexplode("vocabulary").alias("pos", "word"))
+        # a task has few blocks, so each goes straight into its bucket, without a shuffle
+        self.blocks = BucketedTable.write(texts.select("doc", "text", "band").mapInArrow(_blocks, schema), "reading_blocks", ["block"], self.buckets)
+        entries = self.blocks.read().select("block", F.posexplode("vocabulary").alias("pos", "word"))
         self.entries = BucketedTable.write(entries.repartition(self.buckets, "word"), "reading_words", ["word"], self.buckets)
 
     def with_values(self, words: DataFrame) -> DataFrame:
@@ -173,9 +180,12 @@ class _Corpus:
 
     def summed(self, blocks: DataFrame) -> BucketedTable:
         """The next table of words, from what the blocks' sentences say."""
-        sums = blocks.drop("graded", "docs", "block").mapInArrow(_add_up, "word string, n double, s double, ss double, was double")
-        total = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.max("was").alias("was")).withColumn("difficulty", F.col("s") / F.col("n"))
-        spread = F.greatest(F.col("ss") / F.col("n") - F.col("difficulty") * F.col("difficulty"), F.lit(0.0))
+        sums = blocks.drop("graded", "docs", "block").mapInArrow(_add_up, f"word string, {', '.join(f'{c} double' for c in _SUMS)}, was double")
+        total = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in _SUMS], F.max("was").alias("was"))
+        given = F.when(F.col("n_given") == 0, 0.0).when(F.col("n_corpus") == 0, 1.0).otherwise(ANCHOR)
+        mean = lambda c: given * F.coalesce(F.try_divide(f"{c}_given", "n_given"), F.lit(0.0)) + (1 - given) * F.coalesce(F.try_divide(f"{c}_corpus", "n_corpus"), F.lit(0.0))
+        total = total.select("word", "was", (F.col("n_given") + F.col("n_corpus")).alias("n"), mean("s").alias("difficulty"), mean("ss").alias("square"))
+        spread = F.greatest(F.col("square") - F.col("difficulty") * F.col("difficulty"), F.lit(0.0))
         # a word that no sentence had told anything about before counts as moved by a whole band
         moved = F.col("n") * F.coalesce(F.abs(F.col("difficulty") - F.col("was")), F.lit(1.0))
         return BucketedTable.write(total.select("word", "difficulty", (1 / (spread + SPREAD + 1 / F.col("n"))).alias("weight"), "n", moved.alias("moved")), "word_difficulty", ["word"], self.buckets)
