@@ -111,12 +111,15 @@ def test_word_difficulty_against_brute_force(spark):
             weights = [(known[w][1], known[w][0]) for w in ws if w in known]
             if band is None and not weights:
                 continue
-            y = band or sum(k * x for k, x in weights) / sum(k for k, _ in weights)
-            share = reading_level.CLAMP if band else 1.0
+            y = band or sum(k * d for k, d in weights) / sum(k for k, _ in weights)
             for w in ws:
-                n, s, ss = sums.get(w, (0, 0, 0))
-                sums[w] = (n + share, s + share * y, ss + share * y * y)
-        known = {w: (s / n, 1 / (max(ss / n - (s / n) ** 2, 0) + reading_level.SPREAD + 1 / n)) for w, (n, s, ss) in sums.items()}
+                n, s, ss = sums.setdefault(w, {}).get(bool(band), (0, 0, 0))
+                sums[w][bool(band)] = (n + 1, s + y, ss + y * y)
+        known = {}
+        for w, of in sums.items():
+            share = {True: reading_level.ANCHOR, False: 1 - reading_level.ANCHOR} if len(of) == 2 else dict.fromkeys(of, 1.0)
+            mean, square = (sum(share[g] * v[i] / v[0] for g, v in of.items()) for i in (1, 2))
+            known[w] = (mean, 1 / (max(square - mean * mean, 0) + reading_level.SPREAD + 1 / sum(v[0] for v in of.values())))
     assert rounds > 2 and got.keys() == known.keys()
     assert all(np.allclose(got[w], known[w]) for w in known)
 
