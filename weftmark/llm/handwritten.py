@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import broadcast_if_small, materialize
-from ..plans.skew import join_groups
+from ..plans.skew import join_groups, sieved
 
 KINDS = ["handwritten", "generated", "minified", "vendored", "blob"]
 
@@ -121,7 +121,7 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray, length: int = 5) -> list[
 
 
 def _prefixes(hot: np.ndarray):
-    """Each text's rarest shingles, as many as any text at SIMILAR or more must share one of: (shingle, text_key, n, place, open).
+    """Each text's rarest shingles, as many as any text at SIMILAR or more must share one of: (shingle, text_key, n, place).
 
     Shingles stand in one order for all texts: those not in ``hot`` first, then the hot ones, most frequent
     last; ``place`` is the shingle's number in that order within its text.
@@ -130,7 +130,7 @@ def _prefixes(hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, unsettled, lists = batch.columns
+            keys, lists = batch.columns
             flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             text = np.repeat(np.arange(len(size)), size)
             late = np.zeros(len(flat), np.int64)
@@ -143,7 +143,7 @@ def _prefixes(hot: np.ndarray):
             kept = place <= np.repeat(size - least, size)
             owner = text[order][kept]
             columns = [pa.array(flat[order][kept]), keys.take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (size[owner], place[kept]))]
-            yield pa.RecordBatch.from_arrays([*columns, unsettled.take(pa.array(owner))], names=["shingle", "text_key", "n", "place", "open"])
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "text_key", "n", "place"])
 
     return run
 
@@ -222,8 +222,9 @@ def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _alike(likely: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (text_key, lead) that are at SIMILAR or more by their shingles, and whether two repos or a library hold them."""
-    own = texts.select("text_key", "repo", "shared").join(sets.select("text_key", "shingles"), "text_key")
-    held = materialize(own.join(broadcast_if_small(_ends(likely)), "text_key", "left_semi"), "compared_sets")
+    wanted = materialize(_ends(likely), "wanted")
+    held = sieved(sets, wanted, ["text_key"]).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    held = materialize(held.join(texts.select("text_key", "repo", "shared"), "text_key"), "compared_sets")
     lead = held.select(F.col("text_key").alias("lead"), F.col("repo").alias("lead_repo"), F.col("shingles").alias("held"))
     sizes = materialize(likely.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(lead, "lead"), "centres")
     compared = join_groups(likely.join(held, "text_key"), sizes, ["lead"], likely.count())
@@ -232,10 +233,10 @@ def _alike(likely: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(compared.where(both >= SIMILAR * (F.size("shingles") + F.size("held") - both)).select("text_key", "lead", spread.alias("spread")), "near_copies")
 
 
-def near_pairs(texts: DataFrame, shingles: DataFrame, first_leads: int = 8) -> DataFrame:
+def near_pairs(texts: DataFrame, sets: DataFrame, first_leads: int = 64) -> DataFrame:
     """Pairs (text_key, lead, spread) at SIMILAR or more of ``texts`` (text_key, repo, shared, signature), enough to settle every text.
 
-    ``shingles`` holds (text_key, shingles). Texts are alike only if they share a shingle of their prefixes,
+    ``sets`` holds (text_key, shingles) of these texts, once or several times. Texts are alike only if they share a shingle of their prefixes,
     so members of a prefix shingle are candidates. A text is open until a pair shows that another repo or a
     library holds it too. In each round a shingle's first open texts lead: each is compared with all other
     members, then leaves the shingle. So a text that stays open has met all its candidates, and the many
@@ -244,22 +245,28 @@ def near_pairs(texts: DataFrame, shingles: DataFrame, first_leads: int = 8) -> D
     Before shingles are compared, candidates are ruled out that cannot be alike: by their sizes, by the places
     of the shingle in both (what follows the first shared one bounds what is shared), and by their signatures.
     """
-    sets = materialize(texts.select("text_key", (~F.col("shared")).alias("open")).join(shingles, "text_key"), "shingle_sets")
     sample = sets.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
     hot = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).select("shingle").toArrow()
-    prefixes = materialize(sets.select("text_key", "open", "shingles").mapInArrow(_prefixes(hot["shingle"].to_numpy()), "shingle bigint, text_key string, n int, place int, open boolean"), "prefixes")
+    prefixes = materialize(sets.select("text_key", "shingles").mapInArrow(_prefixes(hot["shingle"].to_numpy()), "shingle bigint, text_key string, n int, place int"), "prefixes")
+    # most shingles stand in one text only: they are sifted out before anything else moves
+    several = prefixes.groupBy("shingle").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    several = materialize(several.select("shingle", "size"), "several")
+    common = materialize(sieved(prefixes, several.select("shingle"), ["shingle"]), "common")
+    met = join_groups(common, several, ["shingle"]).distinct()
+    members = materialize(met.join(broadcast_if_small(texts.select("text_key", (~F.col("shared")).alias("open"))), "text_key"), "members")
 
     def alive(rows: DataFrame) -> DataFrame:
         count = F.count(F.lit(1)).alias("size")
         held = materialize(rows.groupBy("shingle").agg(count, F.max("open").alias("any")).where("any and size > 1").select("shingle", "size"), "held")
         return materialize(join_groups(rows, held, ["shingle"]), "members")
 
-    members, leads, found = alive(prefixes), first_leads, []
+    leads, found = first_leads, []
     while not members.isEmpty():
         turn = F.row_number().over(Window.partitionBy("shingle").orderBy("text_key"))
-        leading = materialize(members.where("open").withColumn("turn", turn).where(F.col("turn") <= leads).select("shingle", "text_key", "n", "place"), "leading")
+        leading = members.where("open").withColumn("turn", turn).where(F.col("turn") <= leads)
         sized = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
-        groups = materialize(leading.groupBy("shingle").agg(F.collect_list(F.struct("text_key", "n", "place")).alias("leads")).join(sized, "shingle"), "leads")
+        groups = leading.groupBy("shingle").agg(F.collect_list(F.struct("text_key", "n", "place")).alias("leads")).join(sized, "shingle")
+        groups = materialize(groups, "leads")
         met = join_groups(members, groups, ["shingle"]).select("text_key", "n", "place", "open", F.explode("leads").alias("l"))
         # an open member before a lead leads itself, so each pair of leads is met from one side
         met = met.where((F.col("text_key") > F.col("l.text_key")) | ~F.col("open")).where(F.col("text_key") != F.col("l.text_key"))
@@ -273,7 +280,8 @@ def near_pairs(texts: DataFrame, shingles: DataFrame, first_leads: int = 8) -> D
         near = likely.limit(0).withColumn("spread", F.lit(False)) if likely.isEmpty() else _alike(likely, texts, sets)
         found.append(near)
         settled = materialize(_ends(near.where("spread")).withColumn("settled", F.lit(True)), "settled")
-        rest = members.join(leading, ["shingle", "text_key"], "left_anti").join(broadcast_if_small(settled), "text_key", "left")
+        led_by = groups.select("shingle", F.explode("leads.text_key").alias("text_key"))
+        rest = members.join(led_by, ["shingle", "text_key"], "left_anti").join(broadcast_if_small(settled), "text_key", "left")
         members = alive(rest.select("shingle", "text_key", "n", "place", (F.col("open") & F.col("settled").isNull()).alias("open")))
         leads *= 4
     return reduce(DataFrame.unionByName, found) if found else texts.limit(0).select("text_key", F.col("text_key").alias("lead"), F.col("shared").alias("spread"))
@@ -283,22 +291,18 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("text_key", "lead")).alias("text_key")).distinct()
 
 
-def copied_texts(table: DataFrame, least_words: int = 20) -> DataFrame:
+def copied_texts(holders: DataFrame, table: DataFrame, least_words: int = 20) -> DataFrame:
     """Keys of texts that two repos or a library hold, alike or nearly, and of near copies of those in a repo: (text_key).
 
-    ``table`` has rows of (scope, text_key, n_words, shingles, signature), where a null scope is a library.
-    Identical texts are collapsed first, of any length that has words; near copies are sought from ``least_words`` on.
+    ``holders`` says who holds a text (scope, text_key), where a null scope is a library; ``table`` has the texts
+    (text_key, n_words, shingles, signature), once or several times. Identical texts are collapsed first, of any
+    length that has words; near copies are sought from ``least_words`` on.
     """
-    texts = materialize(
-        table.where("n_words > 0").groupBy("text_key")
-        .agg(F.min("scope").alias("repo"), F.max("scope").alias("high"), F.max(F.col("scope").isNull()).alias("library"), F.first("signature").alias("signature"), F.max("n_words").alias("n_words"), F.min("row_no").alias("row_no"))
-        .select("text_key", "repo", (F.col("library") | (F.col("repo") != F.col("high"))).alias("shared"), "signature", "n_words", "row_no"),
-        "texts",
-    )
-    long = texts.where(F.col("n_words") >= least_words)
-    # one row of each text gives its shingles; the others are left where they are
-    shingles = table.select("text_key", "row_no", "shingles").join(long.select("row_no"), "row_no", "left_semi").drop("row_no")
-    near = near_pairs(long.drop("n_words", "row_no"), shingles)
+    held = holders.groupBy("text_key").agg(F.min("scope").alias("repo"), F.max("scope").alias("high"), F.max(F.col("scope").isNull()).alias("library"))
+    known = table.where("n_words > 0").groupBy("text_key").agg(F.first("signature").alias("signature"), F.max("n_words").alias("n_words"))
+    shared = (F.col("library") | (F.col("repo") != F.col("high"))).alias("shared")
+    texts = materialize(held.join(known, "text_key").select("text_key", "repo", shared, "signature", "n_words"), "texts")
+    near = near_pairs(texts.where(F.col("n_words") >= least_words).drop("n_words"), table.where(F.col("n_words") >= least_words).select("text_key", "shingles"))
     spread = materialize(texts.where("shared").select("text_key").unionByName(_ends(near.where("spread"))).distinct(), "spread")
     inner = near.where("not spread").select(F.explode(F.array(F.struct("text_key", F.col("lead").alias("by")), F.struct(F.col("lead").alias("text_key"), F.col("text_key").alias("by")))).alias("p")).select("p.*")
     return inner.join(spread.withColumnRenamed("text_key", "by"), "by", "left_semi").select("text_key").unionByName(spread).distinct()
@@ -323,11 +327,13 @@ def _log_evidence() -> list[Column]:
 
 def _message(prefix: str = "") -> list[Column]:
     """What a child's log values say about the kind of its folder, or a folder's about its child: the compatibility is symmetric."""
-    values = [F.col(f"{prefix}{k}") for k in KINDS]
-    top = F.greatest(*values)
-    terms = [F.exp(v - top) for v in values]
-    whole = sum(terms[1:], terms[0])
-    return [(F.log(whole * OTHER + t * (SAME - OTHER)) + top).alias(k) for t, k in zip(terms, KINDS, strict=True)]
+    values = F.array(*[F.col(f"{prefix}{k}") for k in KINDS])
+    top = F.array_max(values)
+    # as functions of an array the terms stay short enough for the JVM to compile what surrounds them
+    terms = F.transform(values, lambda v: F.exp(v - top))
+    whole = F.aggregate(terms, F.lit(0.0), lambda x, t: x + t)
+    said = F.transform(terms, lambda t: F.log(whole * OTHER + t * (SAME - OTHER)) + top)
+    return [said[i].alias(k) for i, k in enumerate(KINDS)]
 
 
 def propagate(files: DataFrame) -> DataFrame:
@@ -386,9 +392,13 @@ def file_evidence(files: DataFrame, libraries: DataFrame) -> DataFrame:
     findings = ["text_key", "regular", "n", "line", "solid", "bare", "marked", "taken"]
     last = table.where("scope is not null").groupBy("scope", "repo", "source_file").agg(F.max(F.struct("modified_at", *findings, "row_no")).alias("row"))
     standing = materialize(last.select("scope", "repo", "source_file", *[F.col(f"row.{c}").alias(c) for c in [*findings, "row_no"]]), "standing")
-    kept = table.select("scope", "text_key", "n_words", "shingles", "signature", "row_no")
-    compared = kept.where("scope is null").unionByName(kept.where("scope is not null").join(standing.select("row_no"), "row_no", "left_semi"))
-    copied = materialize(copied_texts(compared).withColumn("found", F.lit(True)), "copied")
+    # texts of rows that do not stand are left out; a text key tells, so that no shingles move for it
+    known_keys = standing.select("text_key").unionByName(table.where("scope is null").select("text_key")).distinct()
+    stale = materialize(table.select("text_key").distinct().join(known_keys, "text_key", "left_anti"), "stale_texts")
+    holders = standing.select("scope", "text_key", "row_no").unionByName(table.where("scope is null").select("scope", "text_key", "row_no"))
+    fresh = table.select("text_key", "n_words", "shingles", "signature", "row_no")
+    fresh = fresh if stale.isEmpty() else fresh.join(broadcast_if_small(stale), "text_key", "left_anti")
+    copied = materialize(copied_texts(holders, fresh).withColumn("found", F.lit(True)), "copied")
     sized = standing.groupBy("text_key").agg(F.count(F.lit(1)).alias("size")).join(copied, "text_key", "left")
     sized = materialize(sized.select("text_key", "size", F.coalesce("found", F.lit(False)).alias("copied")), "copied_sizes")
     path = F.regexp_replace(F.regexp_replace("source_file", r"^(?:\.?/)+", ""), r"/(?:\.?/)+", "/")
