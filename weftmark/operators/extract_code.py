@@ -57,3 +57,40 @@ def symbol_graph(files: DataFrame) -> DataFrame:
     """Links from each file to what it defines (contains) and imports: (repo, source, target, relation)."""
     target = F.when(F.col("kind") == "import", F.col("name")).otherwise(F.concat("source_file", F.lit("#"), "name"))
     return symbols(files).select("repo", F.col("source_file").alias("source"), target.alias("target"), F.when(F.col("kind") == "import", "imports").otherwise("contains").alias("relation")).distinct()
+
+
+#: Marks of comments that give a reason.
+RATIONALE_MARKS = ["NOTE", "IMPORTANT", "HACK", "WHY", "RATIONALE", "TODO", "FIXME"]
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    return files.where("file_text is not null").select("repo", "source_file", F.posexplode(F.split("file_text", r"\r\n|\n|\r")).alias("pos", "line"))
+
+
+def rationales(files: DataFrame) -> DataFrame:
+    """Comment lines of Python files that begin with a mark: (repo, source_file, line_no, mark, note)."""
+    shape = rf"^\s*# ({'|'.join(RATIONALE_MARKS)}):\s*(.*?)\s*$"
+    lines = _lines(files.where(F.lower("source_file").endswith(".py"))).where(F.col("line").rlike(shape))
+    return lines.select("repo", "source_file", (F.col("pos") + 1).alias("line_no"), F.regexp_extract("line", shape, 1).alias("mark"), F.regexp_extract("line", shape, 2).alias("note"))
+
+
+def stem(path: Column) -> Column:
+    """The file's name without folders and last suffix."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+def resolved_imports(files: DataFrame) -> DataFrame:
+    """Names that Python files import from files of their repo: (repo, source_file, name, target_file, defined).
+
+    ``from x import A, B as C`` names A and B of every file x.py of the repo; ``defined`` says whether a class
+    or function of that name is declared there. Imports of modules that the repo lacks give no row.
+    """
+    python = files.where(F.lower("source_file").endswith(".py"))
+    shape = r"^\s*from\s+\.*([\w.]+)\s+import\s+\(?([^#)]+)"
+    found = _lines(python).where(F.col("line").rlike(shape)).select("repo", "source_file", F.regexp_extract("line", shape, 1).alias("module"), F.split(F.regexp_extract("line", shape, 2), ",").alias("names"))
+    names = found.select("repo", "source_file", F.element_at(F.split("module", r"\."), -1).alias("stem"), F.explode("names").alias("name"))
+    names = names.withColumn("name", F.regexp_extract("name", r"^\s*(\w+)", 1)).where("name <> ''").distinct()
+    targets = python.select("repo", F.col("source_file").alias("target_file"), stem(F.col("source_file")).alias("stem")).distinct()
+    declared = symbols(python).where("kind <> 'import'").select("repo", F.col("source_file").alias("target_file"), "name").distinct().withColumn("defined", F.lit(True))
+    placed = names.join(targets, ["repo", "stem"]).where("source_file <> target_file").join(declared, ["repo", "target_file", "name"], "left")
+    return placed.select("repo", "source_file", "name", "target_file", F.coalesce("defined", F.lit(False)).alias("defined"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, communities, graph, retrieval, traversal
+from ..operators import analysis, centrality, communities, graph, retrieval, traversal
 from ..sources.tables import load
 from .graph_queries import _BASE, _LAST, _STANDING, newest_graph, on_graph, walked_pairs
 from .scratch import broadcast_if_small, materialize
@@ -133,6 +133,16 @@ def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(first)).where("rank <= 7").select("repo", "rank", F.element_at(names, F.col("kind")).alias("kind"), "subject")
 
 
+def node_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """How much each linked node lies between others, by shortest paths from eight nodes of its repo."""
+    return centrality.betweenness(newest_graph(spark, d), 8)[0]
+
+
+def link_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """How much each linked pair lies between others, by shortest paths from eight nodes of its repo."""
+    return centrality.betweenness(newest_graph(spark, d), 8)[1]
+
+
 def node_keys(spark: SparkSession, d: str) -> DataFrame:
     """Each node's id in drawings, and its label as Cypher and Markdown write it."""
     nodes = newest_graph(spark, d).nodes
@@ -158,7 +168,7 @@ def tech_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "node_keys": node_keys, "retained_snapshots": retained_snapshots, "document_sentences": document_sentences, "tech_tags": tech_tags, "concept_links": on_graph(graph.concept_links),
+    "node_betweenness": node_betweenness, "link_betweenness": link_betweenness, "node_keys": node_keys, "retained_snapshots": retained_snapshots, "document_sentences": document_sentences, "tech_tags": tech_tags, "concept_links": on_graph(graph.concept_links),
     "detected_communities": detected_communities, "given_modularity": given_modularity, "question_tokens": question_tokens, "hub_paths": on_graph(retrieval.hub_paths),
     "kept_links": on_graph(lambda g: graph.kept_links(g).select("repo", "source", "target", "relation", "confidence")),
     "matched_communities": lambda s, d: communities.matched(load(s, d, "graph_nodes"), load(s, d, "snapshot_log")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
-from ..operators import communities, graph, history, lookups, snapshot_diff, traversal
+from ..operators import batches, extract_code, graph, history, lookups, snapshot_diff, traversal
 from ..sources import files
 from ..sources.tables import load
 from . import problems
@@ -129,12 +129,22 @@ def ignored_files(spark: SparkSession, d: str) -> DataFrame:
     return gone.groupBy("repo", F.split_part("source_file", F.lit("/"), F.lit(1)).alias("top")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def file_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The files of each top folder of a repo in batches of 2,000 tokens, four characters each."""
+    return batches.file_batches(load(spark, d, "source_files"), F.floor(F.length("file_text") / 4), 2000)
+
+
+def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Names that Python files import from other files of their repo, and whether they are declared there."""
+    return extract_code.resolved_imports(load(spark, d, "source_files").where("file_type = 'code'").select("repo", "source_file", "file_text").distinct())
+
+
 def merged_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every node of a repo once, each field from the latest load that has it, with the number of snapshots that hold it."""
     return history.merged_fields(load(spark, d, "graph_nodes"), ["label", "file_type", "source_file"])
 
 
-QUERIES = {q.__name__: q for q in (node_cards, node_neighbours, dated_annotations, hub_agent_edges, hub_texts, hub_estimates, hub_targets, label_tokens, cited_notes, capped_documents, node_names, corpus_digests, note_intents, community_members, extracted_neighbours, change_summary, ignored_files, merged_fields)}
+QUERIES = {q.__name__: q for q in (node_cards, node_neighbours, dated_annotations, hub_agent_edges, hub_texts, hub_estimates, hub_targets, label_tokens, cited_notes, capped_documents, node_names, corpus_digests, note_intents, community_members, extracted_neighbours, change_summary, ignored_files, file_batches, resolved_imports, merged_fields)}
 
 _MATCH = "hit as (select * from (select *, row_number() over (partition by repo order by id) as r from n where coalesce(contains(lower(label), 'schema'), false) or lower(id) = 'schema') where r = 1)"
 _NEAR = ", e0 as (select repo, id from hub1), e1 as (select repo, id from e0 union select i.repo, i.other from inc i join e0 on e0.repo = i.repo and e0.id = i.id), e2 as (select repo, id from e1 union select i.repo, i.other from inc i join e1 on e1.repo = i.repo and e1.id = i.id), em as (select k.* from k join e2 using (repo, id))"
@@ -178,5 +188,13 @@ SQL = {
     "extracted_neighbours": _BASE + ", x as (select distinct repo, least(source, target) as lo, greatest(source, target) as hi from w where confidence = 'EXTRACTED'), y as (select repo, id, count(*) as n from (select repo, lo as id from x union all select repo, hi from x) group by all) select deg.repo, deg.id, degree, coalesce(n, 0) as n_extracted from deg left join y using (repo, id)",
     "change_summary": "select in_table, repo, snapshot_no, count(*) filter (change_kind = 'added') as n_added, count(*) filter (change_kind = 'removed') as n_removed, count(*) filter (change_kind = 'changed') as n_changed from (" + problems.SQL["p1_found"] + ") group by all",
     "ignored_files": r"select repo, split_part(source_file, '/', 1) as top, count(*) as n_files from (select distinct repo, source_file from source_files where source_file is not null) where regexp_matches(source_file, '(^|/)(third_party[^/]*|[^/]*\.min\.js|vendor|build|[^/]ib)(/|$)') or regexp_matches(source_file, '^(third_party.*|.*\.min\.js|src/gen/.*)$') group by all",
+    "file_batches": "with f as (select repo, source_file, max(coalesce(length(file_text) // 4, 0)) as n_tokens from source_files where source_file is not null group by all), t as (select *, case when contains(source_file, '/') then split_part(source_file, '/', 1) else '' end as top from f) "
+    "select repo, top, source_file, n_tokens, (coalesce(sum(n_tokens) over (partition by repo, top order by source_file rows between unbounded preceding and 1 preceding), 0) // 2000)::bigint as batch_no from t",
+    "resolved_imports": r"with f as (select distinct repo, source_file, file_text from source_files where file_type = 'code' and source_file ilike '%.py' and file_text is not null), l as (select repo, source_file, unnest(regexp_split_to_array(file_text, '\r\n|\n|\r')) as line from f), "
+    r"i as (select repo, source_file, regexp_extract(line, '^\s*from\s+\.*([\w.]+)\s+import\s+\(?([^#)]+)', 1) as m, regexp_extract(line, '^\s*from\s+\.*([\w.]+)\s+import\s+\(?([^#)]+)', 2) as n from l), "
+    r"k as (select distinct repo, source_file, list_last(string_split(m, '.')) as stem, regexp_extract(name, '^\s*(\w+)', 1) as name from (select repo, source_file, m, unnest(string_split(n, ',')) as name from i where m <> '')), "
+    r"t as (select distinct repo, source_file as target_file, regexp_extract(source_file, '([^/]*?)(\.[^./]*)?$', 1) as stem from f), "
+    r"s as (select distinct repo, source_file as target_file, coalesce(nullif(regexp_extract(line, '^\s*class\s+(\w+)', 1), ''), regexp_extract(line, '^\s*(?:async\s+)?def\s+(\w+)', 1)) as name from l) "
+    "select k.repo, k.source_file, k.name, t.target_file, s.name is not null as defined from k join t on t.repo = k.repo and t.stem = k.stem and t.target_file <> k.source_file left join s on s.repo = k.repo and s.target_file = t.target_file and s.name = k.name where k.name <> ''",
     "merged_fields": "select repo, id, arg_max(label, loaded_at) filter (label is not null) as label, arg_max(file_type, loaded_at) filter (file_type is not null) as file_type, arg_max(source_file, loaded_at) filter (source_file is not null) as source_file, count(distinct snapshot_no) as n_snapshots from graph_nodes where id is not null group by repo, id",
 }
