@@ -31,6 +31,13 @@ def test_encode_equals_the_tokenizer_and_decodes(spark):
     assert encode.encode(docs.limit(0)).count() == 0
 
 
+def test_blocks_end_by_documents_and_by_words():
+    big = encode.BLOCK_WORDS
+    assert encode._cuts([]) == [0, 0] and encode._cuts([big + 5]) == [0, 1]
+    assert encode._cuts([1, big, 1, big - 1, 0, 1]) == [0, 1, 2, 5, 6]
+    assert encode._cuts([0] * (encode.BLOCK * 2 + 1)) == [0, encode.BLOCK, encode.BLOCK * 2, encode.BLOCK * 2 + 1]
+
+
 def placed(spark, sizes, capacities):
     frame = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
     return packing.pack(frame, capacities).toPandas()

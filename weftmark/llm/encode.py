@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ TOKENIZERS = "/opt/tokenizers"
 _SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'(?:[sdmt]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
-#: Documents of one block: more give fewer distinct words in all, fewer give smaller rows.
-BLOCK = 4096
+#: Documents and pre-tokens of one block: more give fewer distinct words in all, fewer give smaller rows. One longer document is a block of its own.
+BLOCK, BLOCK_WORDS = 4096, 1 << 21
 
 
 def split_words(text: Column) -> Column:
@@ -41,12 +42,25 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0))
 
 
+def _cuts(sizes: list[int]) -> list[int]:
+    """Where the blocks of a batch begin, and its end, for documents of ``sizes`` pre-tokens."""
+    cuts, held = [0], 0
+    for i, n in enumerate(sizes):
+        if i > cuts[-1] and (i - cuts[-1] >= BLOCK or held + n > BLOCK_WORDS):
+            cuts.append(i)
+            held = 0
+        held += n
+    return [*cuts, len(sizes)]
+
+
 def _blocks(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, splitter = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                piece = batch.slice(start, BLOCK)
+            # a text for the tokenizer's own splitter counts by its characters, which are no fewer than its pre-tokens
+            sizes = [n or m or 0 for n, m in zip(pc.list_value_length(batch.column(1)).to_pylist(), pc.utf8_length(batch.column(2)).to_pylist(), strict=True)]
+            for start, end in zip((cuts := _cuts(sizes))[:-1], cuts[1:], strict=True):
+                piece = batch.slice(start, end - start)
                 ids, words, odd = piece.column(0), piece.column(1), piece.column(2)
                 if odd.null_count < len(odd):
                     if splitter is None:

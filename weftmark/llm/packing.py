@@ -134,11 +134,12 @@ def slots(chosen: list[tuple[int, Pattern]]) -> list[tuple[int, int, int, int, i
     return rows
 
 
-def _place(tables: dict[int, np.ndarray]):
-    """Looks (window, length, rank) up in the plan; ``tables`` by window are sorted by (length, first rank)."""
-    keys = {w: t[:, 0] * (1 << 44) + t[:, 1] for w, t in tables.items()}
+def _place(shared):
+    """Looks (window, length, rank) up in the broadcast plan, whose tables by window are sorted by (length, first rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        keys = {w: t[:, 0] * (1 << 44) + t[:, 1] for w, t in tables.items()}
         for batch in batches:
             window, length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("window_id", "n_tokens", "rank"))
             out = np.zeros((3, batch.num_rows), np.int64)
@@ -181,7 +182,7 @@ def pack(sizes: DataFrame, capacities: dict[int, int], item_column: str = "doc_i
         histograms[w][length] = n
     tables = {w: np.array(sorted(slots(plan(h, capacities[w]))) or [(0, 0, 0, 1, 0, 0)], dtype=np.int64) for w, h in histograms.items()}
     ranked = numbered.join(broadcast_if_small(starts.drop("n")), ["window_id", "n_tokens", "part"]).withColumn("rank", F.col("row_no") + F.col("shift"))
-    placed = ranked.select("window_id", "item", "piece_no", "n_tokens", "rank").mapInArrow(_place(tables), f"window_id int, item {kind}, piece_no bigint, n_tokens bigint, window_no bigint, position bigint, token_offset bigint")
+    placed = ranked.select("window_id", "item", "piece_no", "n_tokens", "rank").mapInArrow(_place(sizes.sparkSession.sparkContext.broadcast(tables)), f"window_id int, item {kind}, piece_no bigint, n_tokens bigint, window_no bigint, position bigint, token_offset bigint")
     nowhere = F.lit(None).cast("bigint")
     empty = pieces.where("n_tokens <= 0").select("window_id", "item", "piece_no", F.lit(0).cast("bigint").alias("n_tokens"), nowhere.alias("window_no"), nowhere.alias("position"), nowhere.alias("token_offset"))
     return placed.unionByName(empty).withColumnRenamed("item", item_column)

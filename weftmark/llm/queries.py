@@ -51,6 +51,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(load(spark, d, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and those of them whose token ids spell their text again."""
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("given"))
+    back = encode.decode(encode.encode(load(spark, d, "documents")))
+    return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(F.col("text") == F.col("given"), 1)).alias("n_equal"))
+
+
 def _windows(spark: SparkSession, d: str) -> dict[int, int]:
     return {r[0]: r[1] for r in load(spark, d, "context_windows").where("window_id is not null and capacity > 0").select("window_id", "capacity").collect()}
 
@@ -95,7 +102,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _bands(spark, d).select("doc_id", "reading_band")
 
 
-QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p7_sound": p7_sound, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_windows": p7_windows, "p7_fill": p7_fill, "p7_sound": p7_sound, "p8_found": p8_found}
 
 _PLAIN = r"regexp_replace(lower(upper(coalesce({}, ''))), '[\p{{P}}\p{{Z}}\s\x{{85}}\x{{1c}}-\x{{1f}}\x{{0b}}]+', '', 'g')"
 _P5_ROWS = f"""
@@ -111,4 +118,4 @@ _P5_COUNTS = _P5_ROWS + "select in_table, repo, first_id, count(*) as n_copies f
 
 _P7_SOUND = "select window_id, n_documents, 0::bigint as n_lost, 0::bigint as n_over, 0::bigint as n_twice from context_windows, (select count(*) as n_documents from documents)"
 
-SQL: dict[str, str] = {"p5_found": _P5, "p5_counts": _P5_COUNTS, "p7_sound": _P7_SOUND}
+SQL: dict[str, str] = {"p5_found": _P5, "p5_counts": _P5_COUNTS, "p6_round_trip": "select count(*) as n_documents, count(*) as n_equal from documents", "p7_sound": _P7_SOUND}
