@@ -160,3 +160,14 @@ def capped(text: Column, most_tokens: int = 500) -> Column:
     first = F.concat(F.regexp_replace(F.regexp_replace(head, r"(?s) [^ ]*$", ""), r"[.!?,; ]+$", ""), F.lit("…"))
     whole = F.array_join(F.slice(parts, F.lit(1), F.greatest(n, F.lit(1))), " ")
     return F.when(F.length(text) <= most, text).when(n == 0, first).when(n < F.size(parts), F.concat(F.regexp_replace(whole, r"[.!?]+$", ""), F.lit("…"))).otherwise(whole)
+
+
+def body(text: Column) -> Column:
+    """The text without the front matter that it may begin with."""
+    return F.regexp_replace(text, r"\A---\n(?s:.*?)\n---[ \t]*\n?", "")
+
+
+def front_matter_fields(text: Column) -> Column:
+    """How many fields the text's front matter has; 0 without any."""
+    inner = F.regexp_extract(text, r"\A---\n((?s:.*?))\n---[ \t]*(?:\n|\z)", 1)
+    return F.regexp_count(inner, F.lit(r"(?m)^[A-Za-z_][A-Za-z0-9_-]*:"))

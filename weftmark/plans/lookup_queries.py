@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
-from ..operators import batches, extract_code, graph, history, lookups, snapshot_diff, traversal
+from ..operators import batches, extract_code, federation, graph, history, lookups, snapshot_diff, traversal
 from ..sources import files
 from ..sources.tables import load
 from . import problems
@@ -139,12 +139,28 @@ def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     return extract_code.resolved_imports(load(spark, d, "source_files").where("file_type = 'code'").select("repo", "source_file", "file_text").distinct())
 
 
+def federated_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Concept nodes of several repos with one label, against the first of them."""
+    return federation.shared_with_representative(newest_graph(spark, d))
+
+
+def like_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector against the first of its label."""
+    return federation.like_vectors(load(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+def document_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """How long each document is without its front matter, and how many fields that has."""
+    docs = load(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.length(T.body(F.col("text"))).alias("n_chars"), T.front_matter_fields(F.col("text")).alias("n_fields"))
+
+
 def merged_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every node of a repo once, each field from the latest load that has it, with the number of snapshots that hold it."""
     return history.merged_fields(load(spark, d, "graph_nodes"), ["label", "file_type", "source_file"])
 
 
-QUERIES = {q.__name__: q for q in (node_cards, node_neighbours, dated_annotations, hub_agent_edges, hub_texts, hub_estimates, hub_targets, label_tokens, cited_notes, capped_documents, node_names, corpus_digests, note_intents, community_members, extracted_neighbours, change_summary, ignored_files, file_batches, resolved_imports, merged_fields)}
+QUERIES = {q.__name__: q for q in (node_cards, node_neighbours, dated_annotations, hub_agent_edges, hub_texts, hub_estimates, hub_targets, label_tokens, cited_notes, capped_documents, node_names, corpus_digests, note_intents, community_members, extracted_neighbours, change_summary, ignored_files, file_batches, resolved_imports, federated_concepts, like_vectors, document_bodies, merged_fields)}
 
 _MATCH = "hit as (select * from (select *, row_number() over (partition by repo order by id) as r from n where coalesce(contains(lower(label), 'schema'), false) or lower(id) = 'schema') where r = 1)"
 _NEAR = ", e0 as (select repo, id from hub1), e1 as (select repo, id from e0 union select i.repo, i.other from inc i join e0 on e0.repo = i.repo and e0.id = i.id), e2 as (select repo, id from e1 union select i.repo, i.other from inc i join e1 on e1.repo = i.repo and e1.id = i.id), em as (select k.* from k join e2 using (repo, id))"
@@ -196,5 +212,15 @@ SQL = {
     r"t as (select distinct repo, source_file as target_file, regexp_extract(source_file, '([^/]*?)(\.[^./]*)?$', 1) as stem from f), "
     r"s as (select distinct repo, source_file as target_file, coalesce(nullif(regexp_extract(line, '^\s*class\s+(\w+)', 1), ''), regexp_extract(line, '^\s*(?:async\s+)?def\s+(\w+)', 1)) as name from l) "
     "select k.repo, k.source_file, k.name, t.target_file, s.name is not null as defined from k join t on t.repo = k.repo and t.stem = k.stem and t.target_file <> k.source_file left join s on s.repo = k.repo and s.target_file = t.target_file and s.name = k.name where k.name <> ''",
+    "federated_concepts": _BASE + """, nm as (select lower(label) as name, repo, id from n where file_type in ('document', 'paper', 'rationale', 'image') and label <> ''), gr as (select name, min((repo, id)) as f, max(repo) as lr from nm group by name),
+mb as (select nm.repo, nm.id, f[1] as fr, f[2] as fi from nm join gr using (name) where f[1] <> lr and nm.repo <> f[1]),
+tr as (select distinct i.repo, i.id, 'label' as kind, lower(o.label) as trait from inc i join n o on o.repo = i.repo and o.id = i.other where i.id <> i.other and o.label <> '' union select repo, id, 'file', regexp_extract(source_file, '[^/\\\\]*$') from n where source_file <> '' union select repo, unnest([source, target]), 'file', regexp_extract(source_file, '[^/\\\\]*$') from w where source_file <> ''),
+sz as (select repo, id, count(*) as c from tr where kind = 'label' group by all),
+cm as (select mb.repo, mb.id, count(*) filter (a.kind = 'label') as ns, count(*) filter (a.kind = 'file') as nf from mb join tr a on a.repo = mb.repo and a.id = mb.id join tr b on b.repo = fr and b.id = fi and b.kind = a.kind and b.trait = a.trait group by all),
+x as (select mb.*, coalesce(ns, 0) as ns, coalesce(nf, 0) as nf, coalesce(p.c, 0) + coalesce(q.c, 0) - coalesce(ns, 0) as u from mb left join cm on cm.repo = mb.repo and cm.id = mb.id left join sz p on p.repo = mb.repo and p.id = mb.id left join sz q on q.repo = fr and q.id = fi)
+select repo, id, fr || '::' || fi as merged_id, round(coalesce(ns / nullif(u, 0), 0), 6) as likeness, nf as n_files, coalesce(ns / nullif(u, 0), 0) >= 0.5 and nf >= 1 as joined from x""",
+    "like_vectors": "with f as (select label, min(vec_id) as first from embeddings where len(embedding) > 0 group by label), h as (select f.label, first, embedding::double[] as head from f join embeddings e on e.vec_id = f.first and e.label = f.label) "
+    "select vec_id, first, round(list_cosine_similarity(embedding::double[], head), 3) + 0.0::double as cosine, coalesce(round(list_cosine_similarity(embedding::double[], head), 3) >= 0.85, false) as same from embeddings join h using (label)",
+    "document_bodies": r"select doc_id, length(regexp_replace(text, '^---\n(?s:.*?)\n---[ \t]*\n?', ''))::int as n_chars, (case when regexp_matches(text, '^---\n(?s:.*?)\n---[ \t]*(\n|$)') then len(regexp_extract_all(regexp_extract(text, '^---\n((?s:.*?))\n---', 1), '(?m)^[A-Za-z_][A-Za-z0-9_-]*:')) else 0 end)::int as n_fields from documents where text is not null",
     "merged_fields": "select repo, id, arg_max(label, loaded_at) filter (label is not null) as label, arg_max(file_type, loaded_at) filter (file_type is not null) as file_type, arg_max(source_file, loaded_at) filter (source_file is not null) as source_file, count(distinct snapshot_no) as n_snapshots from graph_nodes where id is not null group by repo, id",
 }
